@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: The least similarity is NUM / DEN.
 NUM, DEN = 4, 5
 #: Buckets of the words' rarity table, a binary literal of as many bytes.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 14
 
 
 def _lines(docs: DataFrame) -> DataFrame:
