@@ -19,6 +19,8 @@ A key is found in its block in constant time: hash, displacement, slot, fingerpr
 from __future__ import annotations
 
 import functools
+import json
+import os
 import zlib
 
 import numpy as np
@@ -41,20 +43,57 @@ SCHEMA = (
 
 
 class WordEncoder:
-    """Encodes with a tokenizer of the tokenizers library whose pre-tokens never hold white space: a text is the sum of
-    the pieces between spaces and line feeds, and each distinct piece is encoded once."""
+    """Encodes with a tokenizer of the tokenizers library whose pre-tokens never hold white space, are runs of letters among
+    others, and end with an end-of-word token: a text is the sum of the pieces between spaces and line feeds. Each distinct
+    piece is encoded once; new pieces that are one word, perhaps with one mark after it, go to the tokenizer as one text and
+    are told apart by the ends of words."""
 
-    def __init__(self, tokenizer_json: bytes, limit: int = 800_000):
+    def __init__(self, tokenizer_json: bytes, limit: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already fill the cores
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
-        self.memo = UnitMemo(self._encode, limit)
+        vocabulary = self.tokenizer.get_vocab()
+        end = json.loads(tokenizer_json)["model"].get("end_of_word_suffix") or "</w>"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
+        # lower case may come first for ASCII if the tokenizer tells no cases apart
+        self.folds = self._whole(["AbC"]) == self._whole(["abc"])
+        self.marks = {m: self._whole([m])[0] for m in ".,;:!?"}
+        self.memo, self.words, self.limit = UnitMemo(self._encode, limit), {}, limit
+
+    def _whole(self, units: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> bool:
+        """Ids of words, all in one call; False if the ends of words don't tell them apart."""
+        if not words:
+            return True
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return False
+        flat, at = ids.tolist(), 0
+        for w, stop in zip(words, stops.tolist()):
+            self.words[w] = flat[at:stop]
+            at = stop
+        return True
 
     def _encode(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        if len(self.words) > self.limit:
+            self.words = {}
+        cut = [(u[:-1], u[-1]) if u[-1:] in self.marks else (u, "") for u in units]
+        one = [w.isalpha() for w, _ in cut]
+        new = [w for w in dict.fromkeys(w for (w, _), good in zip(cut, one) if good) if w not in self.words]
+        if not self._learn(new):
+            return self._whole(units)
+        rest = iter(self._whole([u for u, good in zip(units, one) if not good]))
+        return [(self.words[w] + self.marks[m] if m else self.words[w]) if good else next(rest) for (w, m), good in zip(cut, one)]
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         units: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
+            if self.folds and t.isascii() and "<|" not in t:  # where case could make a special token
+                t = t.lower()
             own = t.replace("\n", " ").split(" ") if t else []
             units += own
             counts[k] = len(own)
