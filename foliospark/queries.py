@@ -1,6 +1,426 @@
-"""Queries over the driver's tables, with the SQL that must give the same rows."""
+"""Queries over the driver's tables, one or more for each operator; oracle.py has the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import schema
+from .functions import codes, dates, names, replies, text
+from .operators import cases, mapper, merge, reconcile, report, resolve, review
+from .oracle import ORACLES
+from .plans import pipeline
+from .sources import pages, views
+from .sources.views import table
+
+TODAY = date(2031, 1, 1)
+KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return cases.parse_names(views.files(spark, d))
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    """Cases with an absence type by the number of their files."""
+    own = cases.cases(_parsed(spark, d))
+    return own.withColumn("type_id", views.pick((2, 3, 11), F.col("n_files") % 3))
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    rows = pipeline.reconcile_record(views.case_rows(spark, d))
+    return mapper.map_to_staging(rows, views.dims(spark, d), TODAY, "claim_id")
+
+
+def _staging(spark: SparkSession, d: str) -> DataFrame:
+    """The staging table of all claims; a claim's number is its row's id."""
+    return mapper.staging_rows(_mapped(spark, d).withColumn("id", F.col("claim_id")), "id", "claim_id", "channel")
+
+
+@query
+def q01_parse_names(spark, d):
+    return _parsed(spark, d).select(*KEYS, "name", "id_number", "doc_type", "case_id")
+
+
+@query
+def q02_name_split_counts(spark, d):
+    return cases.inbox_counts(_parsed(spark, d))
+
+
+@query
+def q03_channel(spark, d):
+    own = views.files(spark, d).withColumn("channel", cases.channel_of(F.col("path")))
+    rows = own.groupBy("channel").agg(F.count("*").alias("n_files"))
+    return rows.withColumn("code", codes.lookup(codes.RECEPTION, codes.reception(F.col("channel"))))
+
+
+@query
+def q04_cases(spark, d):
+    own = cases.cases(_parsed(spark, d))
+    return own.select("case_id", F.array_join("present", ",").alias("present"), "n_files", "n_base", "base", "base_type", "first_path", "channel")
+
+
+@query
+def q05_doc_requirements(spark, d):
+    own = cases.check_default_documents(_cases(spark, d), F.col("type_id"), F.col("present"))
+    return own.select("case_id", "type_id", F.array_join("missing", ",").alias("missing"), "documents")
+
+
+@query
+def q06_required_anti(spark, d):
+    own = _cases(spark, d)
+    required = own.select("case_id", F.explode(codes.default_requirements(F.col("type_id"))).alias("document"))
+    present = _parsed(spark, d).where(F.col("case_id").isNotNull()).select("case_id", F.col("doc_type").alias("document"))
+    return cases.missing_by_anti_join(required, present)
+
+
+@query
+def q07_run_summary(spark, d):
+    done = cases.check_default_documents(_cases(spark, d), F.col("type_id"), F.col("present"))
+    stray = cases.split_names(_parsed(spark, d))[1]
+    return cases.run_summary(done, stray, (F.col("documents") == "COMPLETA") & (F.col("n_base") <= 1), F.col("n_files") % 10 == 9)
+
+
+@query
+def q08_canon_doc(spark, d):
+    raw = F.concat(F.lower("doc_type"), F.when(F.col("l_partkey") % 2 == 0, F.lit("_1")).otherwise(F.lit("")))
+    own = _parsed(spark, d).where(F.col("doc_type").isNotNull()).select(raw.alias("token")).distinct()
+    named = own.withColumn("canonical", codes.canonical_document(F.col("token")))
+    return named.withColumn("doc_group", codes.document_group(F.col("canonical")))
+
+
+@query
+def q10_page_select(spark, d):
+    own = table(spark, d, "conversations").withColumnsRenamed({"conv_id": "doc_id", "turn": "page_no"})
+    return cases.page_text(own, F.col("role") == "assistant")
+
+
+@query
+def q11_page_cap(spark, d):
+    own = table(spark, d, "conversations").select("conv_id", "turn")
+    return cases.first_pages(own, 2, "conv_id", "turn")
+
+
+@query
+def q12_min_text_guard(spark, d):
+    n = F.length(text.strip(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", (n >= 200).alias("enough"), F.when(n < 200, F.lit(pipeline.NO_TEXT)).alias("note"))
+
+
+@query
+def q13_text_ids(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.find(t, "([0-9]{6,16})").alias("number"), text.near(t, "the", "([a-z]+)", 30).alias("after_the"))
+
+
+@query
+def q14_first_label_value(spark, d):
+    h = F.col("html")
+    return table(spark, d, "pages").select(
+        "page_id", text.near(h, "<title>", "([A-Za-z]+)", 40).alias("word"), text.near(h, "html lang=", '"([a-z]+)"', 20).alias("lang")
+    )
+
+
+def _rendered(o_key, day):
+    """A date in one of three shapes, or one that the calendar doesn't have."""
+    month = views.pick([m for m in dates.SHORT_MONTHS if m != "set"], F.month(day) - 1)
+    return (
+        F.when(o_key % 5 == 0, F.date_format(day, "yyyy-MM-dd")).when(o_key % 5 == 1, F.date_format(day, "d/M/yyyy"))
+        .when(o_key % 5 == 2, F.concat(F.date_format(day, "dd-"), month, F.date_format(day, "-yy"))).when(o_key % 5 == 3, F.lit("31/02/2026"))
+        .otherwise(F.concat(F.date_format(day, "yyyy"), F.lit("-13-01")))
+    )
+
+
+@query
+def q15_dates_norm(spark, d):
+    raw = _rendered(F.col("o_orderkey"), F.to_date("o_orderdate"))
+    own = table(spark, d, "orders").select("o_orderkey", raw.alias("raw"))
+    labelled = F.concat(F.lit("Nota 7. Fecha Inicio: "), F.col("raw"), F.lit(" fin"))
+    return own.select("o_orderkey", "raw", dates.any_date(F.col("raw")).alias("day"), dates.labelled_date(labelled, r"fecha\s*inicio").alias("labelled"))
+
+
+@query
+def q16_code_candidates(spark, d):
+    k = F.col("p_partkey")
+    code = F.concat(F.lit("K"), F.lpad((k % 100).cast("string"), 2, "0"), (k % 10).cast("string"))
+    note = F.concat(F.lit("Nota A01 y SOL. "), F.when(k % 3 == 0, F.lit("B2O ")).otherwise(F.lit("")), F.lit("Diagnostico: "), code, F.lit("HERNIA Z99"))
+    plain = F.when(k % 2 == 0, F.concat(F.lit("s"), (k % 90 + 10).cast("string"))).otherwise(F.lit("42.0"))
+    return table(spark, d, "part").select(
+        "p_partkey", codes.best_diagnosis(note).alias("best"), codes.diagnosis_code(plain).alias("code"), codes.diagnosis_fixes(F.lit("kIO,5")).alias("fixes")
+    )
+
+
+@query
+def q17_deaccent(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.fold(F.col("text")).cast("binary")).alias("folded"))
+
+
+@query
+def q18_form_dispatch(spark, d):
+    k = F.col("o_orderkey")
+    heads = ("SOLICITUDDEPERMISO", "Notificación de periodos de VACACIONES", "Certificado de  incapacidad", "Detalle de la incapacidad medica", "epicrisis")
+    t = F.concat(F.lit("hoja "), views.pick(heads, k % 5), F.lit(" no. "), k.cast("string"))
+    own = table(spark, d, "orders").select("o_orderkey", t.alias("t"))
+    t = F.col("t")
+    kind = F.when(pages.is_permit(t), "permiso").when(pages.is_holiday(t), "vacaciones").otherwise("incapacidad")
+    return own.select("o_orderkey", pages.is_relevant(t).alias("relevant"), kind.alias("kind"))
+
+
+@query
+def q20_employee_by_id(spark, d):
+    own = resolve.employee_by_number(views.claims(spark, d).select("claim_id", "person_key"), views.dims(spark, d)["employees"], F.col("person_key"))
+    return own.select("claim_id", "emp_id", "emp_name", "emp_insurer")
+
+
+@query
+def q21_employee_by_name(spark, d):
+    own = views.claims(spark, d).where(F.col("claim_id") % 20 == 0).select("claim_id", "person_name")
+    return resolve.employee_by_name(own, views.dims(spark, d)["employees"], "claim_id", F.col("person_name"))
+
+
+@query
+def q22_employee_fallback(spark, d):
+    own = views.claims(spark, d).select("claim_id", "person_key", "person_name")
+    return resolve.employee(own, views.dims(spark, d)["employees"], "claim_id", F.col("person_key"), F.col("person_name")).select("claim_id", "emp_id", "emp_name")
+
+
+@query
+def q23_diagnosis_code(spark, d):
+    own = views.claims(spark, d).select("claim_id", "dx_code")
+    return resolve.diagnosis(own, views.dims(spark, d)["diagnoses"], F.col("dx_code")).select("claim_id", "dx_id", "dx_text")
+
+
+@query
+def q24_insurer_keyword(spark, d):
+    own = views.claims(spark, d).select("claim_id", "insurer_text")
+    found = resolve.insurer_by_keyword(own, views.dims(spark, d)["insurers"], F.col("insurer_text"))
+    return found.select("claim_id", "ins_id", "ins_kind", "ins_name")
+
+
+@query
+def q25_insurer_chain(spark, d):
+    return _mapped(spark, d).select("claim_id", "is_traffic", "ins_id", "ins_kind", "ins_name", "ins_from_employee", "ins_unknown")
+
+
+@query
+def q26_type_ladder(spark, d):
+    own = views.claims(spark, d).select("claim_id", codes.type_of_text(F.concat(F.lit("hoja "), F.col("phrase"))).alias("type_id"))
+    return own.withColumn("label", codes.lookup(codes.TYPE_LABELS, F.col("type_id")))
+
+
+@query
+def q27_type_precedence(spark, d):
+    return _mapped(spark, d).select("claim_id", "type_id", "type_label", "idlpnivelincapacidad", "level_label")
+
+
+@query
+def q28_requirements_lookup(spark, d):
+    own = views.claims(spark, d).select("claim_id", (F.col("claim_id") % 7).cast("int").alias("insurer"), views.pick((2, 3, 5, 11), F.col("claim_id") % 4).alias("type_id"))
+    found = resolve.requirements(own, views.dims(spark, d)["requirements"], F.col("insurer"), F.col("type_id"))
+    return found.select("claim_id", F.array_join("required", ",").alias("required"))
+
+
+@query
+def q29_full_enrichment(spark, d):
+    return _mapped(spark, d).select("claim_id", "emp_id", "dx_id", "ins_id", "type_id", F.array_join("missing", ",").alias("missing"), "documents")
+
+
+@query
+def q30_date_reconcile(spark, d):
+    own = views.claims(spark, d).select("claim_id", "start", "end", "days", "anchored")
+    return reconcile.reconcile(own, "start", "end", "days", F.col("anchored")).select("claim_id", "start", "end", "days", "start_calculated")
+
+
+@query
+def q31_due_date(spark, d):
+    own = views.claims(spark, d)
+    return own.select("claim_id", dates.due_date(F.col("start"), F.col("days")).alias("due"), F.array_join(dates.path_parts(F.col("start")), "/").alias("folder"))
+
+
+@query
+def q32_days_between(spark, d):
+    own = views.claims(spark, d)
+    far = F.date_add("end", F.when(F.col("claim_id") % 3 == 0, 540).otherwise(0))
+    return own.select("claim_id", dates.days_between(F.col("start"), far).alias("days_between"), dates.in_range(F.col("days")).alias("days_ok"))
+
+
+@query
+def q33_completeness(spark, d):
+    return _mapped(spark, d).select("claim_id", F.col("confianza_ocr").cast("double").alias("share"))
+
+
+@query
+def q34_problems(spark, d):
+    fields = F.array_join(F.transform("missing_fields", lambda x: F.concat_ws("=", x["campo"], x["valor"])), ",")
+    return _mapped(spark, d).select("claim_id", "problemas", fields.alias("fields"), "needs_review")
+
+
+@query
+def q35_observations(spark, d):
+    return _mapped(spark, d).select("claim_id", "observaciones", "paciente_leido")
+
+
+@query
+def q36_staging_rows(spark, d):
+    return mapper.staging_rows(_mapped(spark, d), "claim_id").drop("confianza_ocr", "fechaaccidente")
+
+
+@query
+def q40_merge_records(spark, d):
+    """Two records of each claim: the rules' and a model's with gaps and an invented date."""
+    c = views.claims(spark, d)
+    k = F.col("claim_id")
+    rule = schema.record({
+        "paciente.documento_numero": F.col("person_key"), "paciente.nombre": F.col("person_name"), "incapacidad.fecha_inicio": F.col("start"),
+        "incapacidad.fecha_fin": F.col("end"), "incapacidad.dias": F.col("days"), "incapacidad.origen": F.col("phrase"),
+        "incapacidad.inicio_anclada": F.col("anchored"), "diagnostico.cie10": F.col("dx_code"), "tipo_documento": F.col("kind"),
+    })
+    model = schema.record({
+        "paciente.documento_numero": F.lit("999"), "paciente.nombre": F.when(k % 3 != 0, F.lit("Modelo")), "incapacidad.dias": F.when(k % 8 == 0, 4),
+        "incapacidad.fecha_inicio": F.when(k % 4 == 0, F.date_add("start", 1)).when(k % 4 == 1, F.lit("2031-01-01").cast("date")),
+        "incapacidad.origen": F.when(k % 5 == 0, F.lit("codigo 12")).when(k % 5 == 1, F.lit("Origen LABORAL")),
+    })
+    whole = F.concat_ws(" ", F.lit("del"), F.col("start").cast("string"), F.lit("o"), F.date_add("start", 1).cast("string"), F.lit("al"), F.col("end").cast("string"))
+    own = c.select("claim_id", rule.alias("rule"), model.alias("model"), whole.alias("t"), (k % 7 == 1).alias("failed"))
+    r = merge.merge(own, "rule", "model", F.col("failed"), F.col("t"))
+    inc = "record.incapacidad."
+    return r.select(
+        "claim_id", "record.paciente.nombre", "record.paciente.documento_numero", F.col(inc + "fecha_inicio").alias("start"),
+        F.col(inc + "fecha_fin").alias("end"), F.col(inc + "dias").alias("days"), F.col(inc + "origen").alias("origin"), "record.diagnostico.cie10",
+    )
+
+
+@query
+def q41_origin_clean(spark, d):
+    raw = F.when(F.col("claim_id") % 9 == 0, F.concat(F.lit("x"), F.col("claim_id").cast("string"))).when(F.col("claim_id") % 9 == 1, F.lit("  ")).otherwise(F.col("phrase"))
+    own = views.claims(spark, d).select("claim_id", codes.clean_origin(raw).alias("origin"))
+    return own.withColumn("licence", codes.licence(F.when(F.col("claim_id") % 2 == 0, F.lit("parto no viable")).otherwise(F.lit(" Otra "))))
+
+
+@query
+def q42_json_rescue(spark, d):
+    k = F.col("event_id")
+    reply = (
+        F.when(k % 4 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(k % 4 == 1, F.concat(F.lit("Claro: "), F.col("props"), F.lit(" fin")))
+        .when(k % 4 == 2, F.col("props")).otherwise(F.lit("nada"))
+    )
+    return table(spark, d, "events").select(
+        "event_id", F.get_json_object(replies.json_text(reply), "$.k").cast("bigint").alias("k"), replies.reply_failed(reply).alias("failed")
+    )
+
+
+@query
+def q50_staging_topk(spark, d):
+    return review.latest(_staging(spark, d), "pendiente_revision", 20, ("id", "estado", "fechainicio", "Numerodias", "idlpempleado", "problemas"))
+
+
+def _updates(spark, d):
+    own = table(spark, d, "orders").where(F.col("o_orderkey") % 3 == 0)
+    return own.select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.lit(review.APPROVED)).alias("state"),
+        F.when(F.col("o_orderkey") % 6 == 0, F.lit("visto")).alias("note"), F.lit("O-1").alias("numeroorden"), (F.col("o_orderkey") % 40).cast("int").alias("Numerodias"),
+    )
+
+
+@query
+def q51_review_apply(spark, d):
+    return review.apply_review(_staging(spark, d), _updates(spark, d)).select("id", "estado", "numeroorden", "Numerodias", "observaciones")
+
+
+@query
+def q52_state_update(spark, d):
+    return review.set_state(_staging(spark, d), _updates(spark, d)).select("id", "estado", "Numerodias", "observaciones")
+
+
+@query
+def q53_quick_approval(spark, d):
+    o = F.col("o_orderkey")
+    actions = table(spark, d, "orders").select(
+        F.when(o % 50 == 0, -o).otherwise(o).alias("id"), views.pick(("aprobar", "rechazar", "guardar", "otra"), o % 4).alias("action"), (o % 8 < 2).alias("has_body")
+    )
+    return review.decide(_staging(spark, d), actions).select("id", "action", "code", "state", F.array_join("lacking", ",").alias("lacking"))
+
+
+@query
+def q54_alerts(spark, d):
+    own = _staging(spark, d)
+    return review.alerts(own, F.col("claim_id").cast("string"), codes.reception(F.col("channel")))
+
+
+@query
+def q55_catalog_upsert(spark, d):
+    own = table(spark, d, "nation").select("n_nationkey", "n_name")
+    more = spark.createDataFrame([(1, "UNO", 1), (1, "UNO BIS", 2), (90, "NOVENTA", 1)], "n_nationkey int, n_name string, at int")
+    return review.upsert(own, more, "n_nationkey", "at")
+
+
+@query
+def q56_routing_manifest(spark, d):
+    f = cases.parse_names(views.files(spark, d)).withColumn("k", F.col("l_orderkey"))
+    c = views.claims(spark, d).select("claim_id", F.col("start").alias("s"))
+    own = f.join(c, F.col("k") == F.col("claim_id"), "left")
+    person = F.when(F.col("k") % 3 != 0, F.concat(F.lit("Álix  Pérez "), F.col("k").cast("string")))
+    moved = review.routes(own, F.col("k") % 2 == 0, F.col("k") % 29 == 0, person, F.col("id_number"), F.col("s"), ("Ana",))
+    return moved.select(*KEYS, "dest", "collision")
+
+
+@query
+def q57_batch_cap(spark, d):
+    return cases.first_cases(cases.cases(_parsed(spark, d)), 500).select("case_id", "first_path", "n_files")
+
+
+@query
+def q60_accuracy(spark, d):
+    """Labels against a rule on the text's length and commas."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("n"), F.length(F.regexp_replace("text", "[^,]", "")).alias("commas"))
+    joined = docs.join(table(spark, d, "labels"), "doc_id")
+    good = joined.select(
+        "lang", report.agrees(F.when(F.col("n") > 1000, 1).otherwise(0), F.col("quality")).alias("a"),
+        report.agrees_with_any((F.col("commas") % 3).cast("string"), F.when(F.col("toxic") == 1, F.array(F.lit("1"), F.lit("2")))).alias("b"),
+    )
+    by_lang = report.accuracy(good, ["a", "b"], "lang")
+    return by_lang.unionByName(report.accuracy(good, ["a", "b"]).withColumn("lang", F.lit("all")))
+
+
+@query
+def q61_wordbreak(spark, d):
+    """Part names with their words run together, split by the lexicon of those words."""
+    words = [r[0] for r in table(spark, d, "part").select(F.explode(F.split(F.upper("p_name"), " "))).distinct().limit(500).collect()]
+    glued = F.replace(F.upper("p_name"), F.lit(" "), F.lit(""))
+    return table(spark, d, "part").select("p_partkey", names.split_glued(glued, sorted(words)).alias("parts"), names.short_name(F.col("p_name"), ()).alias("short"))
+
+
+@query
+def q62_stub_ocr_pipeline(spark, d):
+    """Conversations as documents of pages: stub engine, page choice, guard, extraction."""
+    own = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.col("text").cast("binary").alias("content"))
+    whole = pages.document_text(pages.recognise(own))
+    done = pipeline.extract(whole)
+    return done.select("doc_id", F.length("text").alias("n_chars"), "record.tipo_documento", "record.paciente.documento_numero", "note", "error")
+
+
+@query
+def q63_containment_large(spark, d):
+    """The indexed containment join over all employees, whatever their number."""
+    own = views.claims(spark, d).where(F.col("claim_id") % 20 == 0)
+    reads = own.select(F.col("claim_id").alias("__read"), text.squash(F.col("person_name")).alias("__text"))
+    people = views.dims(spark, d)["employees"].select(F.col("id").alias("__order"), text.squash(F.col("full_name")).alias("__key"))
+    return resolve.containment(reads, people, True, small=0).select(F.col("__read").alias("claim_id"), F.col("__order").alias("emp_id"))
+
+
+@query
+def q64_new_rows(spark, d):
+    """A second run over the same cases adds only those not stored yet."""
+    rows = review.add_ids(cases.cases(_parsed(spark, d)).select("case_id", "n_files"), ["case_id"])
+    stored = rows.where(F.col("n_files") % 2 == 0)
+    return review.new_rows(rows, stored).select("case_id", "n_files")
+
+
