@@ -44,7 +44,7 @@ class PPM:
             for lang in raw:
                 grams = np.concatenate([np.zeros(0, np.int64), *(self._grams(b, k) for b in lang)])
                 own.append(np.unique(grams, return_counts=True))
-            codes = np.unique(np.concatenate([c for c, _ in own]))
+            codes = np.unique(np.concatenate([np.zeros(0, np.int64), *(c for c, _ in own)]))
             counts = np.zeros((len(codes), n))
             for x, (c, m) in enumerate(own):
                 counts[np.searchsorted(codes, c), x] = m
