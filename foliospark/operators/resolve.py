@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import canonical_document, is_traffic_insurer
 from ..functions.text import digits, filled, squash
+from ..sources.session import settled
 
-#: Rows of a catalogue that is compared with every read value; larger ones go by their rarest part.
-SMALL = 2000
+#: Rows of a catalogue that is part of the plan itself; of one that is sent to all tasks; larger ones go by their rarest part.
+TINY, SMALL = 256, 2000
 #: Characters of the parts that larger catalogues are looked up by, and the least length of a name that is looked up.
 GRAM, LEAST_NAME = 8, 8
 
@@ -92,7 +93,7 @@ def employee_by_name(df: DataFrame, employees: DataFrame, key: str, name: Column
 
 def employee(df: DataFrame, employees: DataFrame, key: str, number: Column, name: Column) -> DataFrame:
     """The employee by id number, or else by name; only rows left without one are looked up by name."""
-    first = employee_by_number(df, employees, number)
+    first = settled(employee_by_number(df, employees, number))
     rest = first.where(F.col("emp_id").isNull() & filled(name).isNotNull())
     second = employee_by_name(rest, employees, key, name).select(
         F.col(key).alias("__k"), F.col("emp_id").alias("__i"), F.col("emp_name").alias("__n"), F.col("emp_insurer").alias("__e")
@@ -116,12 +117,22 @@ def diagnosis(df: DataFrame, diagnoses: DataFrame, code: Column) -> DataFrame:
 
 def insurer_by_keyword(df: DataFrame, insurers: DataFrame, text: Column, prefix: str = "ins") -> DataFrame:
     """Adds <prefix>_id, _kind, _name of the first insurer by id whose keyword the text holds, both folded and without
-    spaces. Each distinct text is looked up once."""
+    spaces. A tiny catalogue, read first, becomes part of the plan; otherwise each distinct text is looked up once."""
     names = [f"{prefix}_{c}" for c in ("id", "kind", "name")]
     catalogue = insurers.select(F.col("id").alias(names[0]), F.col("kind").alias(names[1]), F.col("keyword").alias(names[2]))
-    keyed = df.withColumn("__text", squash(text))
+    keys = insurers.select(F.col("id").alias("__order"), squash(F.col("keyword")).alias("__key"), "kind", "keyword")
+    few = keys.where(F.length("__key") > 0).orderBy("__order").limit(TINY + 1).collect()
+    if len(few) <= TINY:
+        kinds = dict(zip(names, (catalogue.schema[n].dataType for n in names)))
+        rows = [F.struct(F.lit(r["__key"]).alias("key"), *[F.lit(r[c]).cast(kinds[n]).alias(n) for n, c in zip(names, ("__order", "kind", "keyword"))]) for r in few]
+        if not rows:
+            return df.withColumns({n: F.lit(None).cast(k) for n, k in kinds.items()})
+        held = df.withColumn("__text", squash(text))
+        held = held.withColumn("__hit", F.get(F.filter(F.array(*rows), lambda r: F.contains(F.col("__text"), r["key"])), F.lit(0)))
+        return held.withColumns({n: F.col("__hit")[n] for n in names}).drop("__text", "__hit")
+    keyed = settled(df.withColumn("__text", squash(text)))
     reads = keyed.select("__text").distinct().withColumn("__read", F.col("__text"))
-    found = containment(reads, insurers.select(F.col("id").alias("__order"), squash(F.col("keyword")).alias("__key")), False)
+    found = containment(reads, keys.select("__order", "__key"), False)
     hits = found.join(catalogue, F.col("__order") == F.col(names[0])).select("__read", *names)
     return keyed.join(hits, F.col("__text") == F.col("__read"), "left").drop("__text", "__read")
 

@@ -74,9 +74,13 @@ def reconcile_record(df: DataFrame, name: str = "record") -> DataFrame:
     part = lambda f: F.col(f"{name}.incapacidad.{f}")
     df = df.withColumns({"__start": part("fecha_inicio"), "__end": part("fecha_fin"), "__days": part("dias"), "__held": part("inicio_anclada")})
     df = reconcile(df, "__start", "__end", "__days", F.col("__held"), "__calc")
-    absence = F.col(f"{name}.incapacidad").withField("fecha_inicio", F.col("__start")).withField("fecha_fin", F.col("__end"))
-    absence = absence.withField("dias", F.col("__days")).withField("fecha_inicio_calculada", F.col("__calc")).withField("inicio_anclada", F.lit(None).cast("boolean"))
-    return df.withColumn(name, F.col(name).withField("incapacidad", absence)).drop("__start", "__end", "__days", "__held", "__calc")
+    new = {"fecha_inicio": "__start", "fecha_fin": "__end", "dias": "__days", "fecha_inicio_calculada": "__calc"}
+    values = {"tipo_documento": F.col(f"{name}.tipo_documento")}
+    for section, fields in schema.SECTIONS.items():
+        for field in (f.split()[0] for f in fields.split(", ")):
+            values[f"{section}.{field}"] = F.col(new[field]) if section == "incapacidad" and field in new else F.col(f"{name}.{section}.{field}")
+    values["incapacidad.inicio_anclada"] = F.lit(None)
+    return df.withColumn(name, schema.record(values)).drop("__start", "__end", "__days", "__held", "__calc")
 
 
 def extract(df: DataFrame, extractor: Extractor | None = None) -> DataFrame:
