@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import count_tokens
+from .common import cut
 
 #: Lengths that one window task of the suffix sums holds.
 BLOCK = 4096
@@ -74,5 +75,5 @@ def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
 
 def token_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """The suffix sums over the encoded lengths of every whole text of docs; a null text counts as empty (0 tokens),
-    repeated rows count each, an empty table gives no rows."""
-    return suffix_sums(histogram(count_tokens(docs, ranks_path, pattern)))
+    repeated rows count each, an empty table gives no rows. The histogram is written once, so that its sums don't encode again."""
+    return suffix_sums(cut(histogram(count_tokens(docs, ranks_path, pattern))))
