@@ -124,8 +124,8 @@ class _Numbers(dict):
 
 
 class UnitMemo:
-    """Ids of units of text already encoded, in flat arrays, at most `limit` of them and what one call adds; encode gets
-    the new units of a call at once. Where it gives None for a unit, the unit is flagged."""
+    """Ids of units of text already encoded, in flat arrays, at most `limit` of them and what one call adds. encode gets the
+    new units of a call at once and gives all their ids, how many each has, and which to flag (or False)."""
 
     def __init__(self, encode, limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
@@ -145,21 +145,16 @@ class UnitMemo:
         out = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
         if known.new:
             new, known.new = known.new, []
-            got = self.encode(new)
+            flat, sizes, flagged = self.encode(new)
             while len(self.begin) < first + len(new):
                 for name in ("begin", "size", "flagged"):
                     setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
-            for k, ids in enumerate(got):
-                if ids is None:
-                    self.flagged[first + k] = True
-                    got[k] = ()
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
             while len(self.ids) < self.used + len(flat):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used : self.used + len(flat)] = flat
             self.begin[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.size[first : first + len(new)] = sizes
+            self.flagged[first : first + len(new)] = flagged
             self.used += len(flat)
         return out
 
@@ -179,15 +174,17 @@ class TextEncoder:
     begins, and none reaches over it; so a text is the sum of its units (a space and what follows up to the next one),
     unless a unit is empty or has white space at an end. The first unit has no space; its key is a tuple."""
 
-    def __init__(self, bpe: ByteBPE, limit: int = 1_000_000):
+    def __init__(self, bpe: ByteBPE, limit: int = 600_000):
         self.bpe, self.memo = bpe, UnitMemo(self._units, limit)
 
-    def _units(self, units: list) -> list:
+    def _units(self, units: list) -> tuple:
         texts = [u[0] if type(u) is tuple else " " + u for u in units]
         own = [t if type(u) is tuple else u for t, u in zip(texts, units)]
         good = [bool(u) and not u[0].isspace() and not u[-1].isspace() for u in own]
         found = iter(self.bpe.encode_units([t for t, g in zip(texts, good) if g]))
-        return [next(found) if g else None for g in good]
+        got = [next(found) if g else () for g in good]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum())), sizes, ~np.array(good, bool)
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the n + 1 places where texts begin in it."""

@@ -25,9 +25,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from . import common
 from .bpe import UnitMemo, broadcast_file
@@ -44,60 +46,74 @@ SCHEMA = (
 
 class WordEncoder:
     """Encodes with a tokenizer of the tokenizers library whose pre-tokens never hold white space, are runs of letters among
-    others, and end with an end-of-word token: a text is the sum of the pieces between spaces and line feeds. Each distinct
-    piece is encoded once; new pieces that are one word, perhaps with one mark after it, go to the tokenizer as one text and
-    are told apart by the ends of words."""
+    others, and end with an end-of-word token: a text is the sum of the pieces between spaces and line feeds. The distinct
+    pieces of a batch are found in Arrow, a full stop or comma at the end of a word being a piece of its own, and each that is
+    new is encoded once; new words go to the tokenizer as one text and are told apart by the ends of words. Words of a-z need
+    no normalisation and no other split than at spaces, so a tokenizer of the same model without the rest takes them."""
 
-    def __init__(self, tokenizer_json: bytes, limit: int = 500_000):
+    def __init__(self, tokenizer_json: bytes, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already fill the cores
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
+        short = Tokenizer.from_str(tokenizer_json.decode())
+        short.normalizer = None
+        short.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.short = short
         vocabulary = self.tokenizer.get_vocab()
         end = json.loads(tokenizer_json)["model"].get("end_of_word_suffix") or "</w>"
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
         # lower case may come first for ASCII if the tokenizer tells no cases apart
-        self.folds = self._whole(["AbC"]) == self._whole(["abc"])
-        self.marks = {m: self._whole([m])[0] for m in ".,;:!?"}
-        self.memo, self.words, self.limit = UnitMemo(self._encode, limit), {}, limit
+        self.folds = self._whole(["AbC"]) == self._whole(["abc"]) == [short.encode("abc", add_special_tokens=False).ids]
+        self.memo = UnitMemo(self._encode, limit)
 
     def _whole(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> bool:
-        """Ids of words, all in one call; False if the ends of words don't tell them apart."""
+    def _words(self, words: list[str], tokenizer: Tokenizer) -> tuple | None:
+        """All ids of words, from one call, and how many each has; None if the ends of words don't tell them apart."""
         if not words:
-            return True
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids)
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words) or stops[-1] != len(ids):
-            return False
-        flat, at = ids.tolist(), 0
-        for w, stop in zip(words, stops.tolist()):
-            self.words[w] = flat[at:stop]
-            at = stop
-        return True
-
-    def _encode(self, units: list[str]) -> list[list[int]]:
-        if len(self.words) > self.limit:
-            self.words = {}
-        cut = [(u[:-1], u[-1]) if u[-1:] in self.marks else (u, "") for u in units]
-        one = [w.isalpha() for w, _ in cut]
-        new = [w for w in dict.fromkeys(w for (w, _), good in zip(cut, one) if good) if w not in self.words]
-        if not self._learn(new):
-            return self._whole(units)
-        rest = iter(self._whole([u for u, good in zip(units, one) if not good]))
-        return [(self.words[w] + self.marks[m] if m else self.words[w]) if good else next(rest) for (w, m), good in zip(cut, one)]
-
-    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        units: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            if self.folds and t.isascii() and "<|" not in t:  # where case could make a special token
-                t = t.lower()
-            own = t.replace("\n", " ").split(" ") if t else []
-            units += own
-            counts[k] = len(own)
-        ids, size = self.memo.expand(self.memo.numbers(units))
+            return None
+        return ids, np.diff(stops, prepend=0)
+
+    def _apart(self, units: list[str]) -> tuple:
+        got = self._whole(units)
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum())), sizes
+
+    def _encode(self, units: list[str]) -> tuple:
+        """Ids of new units: words of a-z, other words, and the rest, each kind in one go, then put in their order."""
+        kind = np.fromiter((0 if u.isascii() and u.islower() and u.isalpha() and self.folds else 1 if u.isalpha() else 2 for u in units), np.int8, len(units))
+        sizes, parts = np.zeros(len(units), np.int64), []
+        for k, tokenizer in ((0, self.short), (1, self.tokenizer), (2, None)):
+            own = [units[i] for i in np.flatnonzero(kind == k)]
+            got = (self._words(own, tokenizer) if tokenizer else None) or self._apart(own)
+            sizes[kind == k] = got[1]
+            parts.append(got)
+        begin = np.zeros(len(units), np.int64)
+        base = 0
+        for k, (ids, own) in enumerate(parts):
+            begin[kind == k] = base + np.cumsum(own) - own
+            base += len(ids)
+        flat = np.concatenate([p[0] for p in parts])
+        stop = np.cumsum(sizes)
+        total = int(stop[-1]) if len(stop) else 0
+        return flat[np.repeat(begin - (stop - sizes), sizes) + np.arange(total)], sizes, False
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (nulls empty) in one array, and the n + 1 places where texts begin in it."""
+        texts = pc.take(texts.cast(pa.large_string()), pa.array(np.arange(len(texts)))).fill_null("")  # a slice must not reach the splits
+        if self.folds and not pc.any(pc.match_substring(texts, "<|")).as_py():  # where case could make a special token
+            texts = pc.ascii_lower(texts)
+        texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), "([a-z])([.,]) ", "\\1 \\2 ")
+        pieces = pc.split_pattern(texts, " ")
+        distinct = pieces.flatten().dictionary_encode()
+        numbers = self.memo.numbers(distinct.dictionary.to_pylist())
+        ids, size = self.memo.expand(numbers[distinct.indices.to_numpy(zero_copy_only=False)])
+        counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
         return ids, np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
 
 
@@ -166,9 +182,9 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
         def row():
             return pa.RecordBatch.from_pylist([_pack(shard, block, start, np.concatenate(ids), np.concatenate(sizes), keys)], _ARROW)
 
-        for piece in common.slices(batches):
+        for piece in common.slices(batches, common.ARROW_ROWS):
             own = piece.column(0).to_pylist()
-            flat, ends = encoder.encode_batch(common.texts_of(piece.column(1)))
+            flat, ends = encoder.encode_column(piece.column(1))
             of = np.array([0 if d is None else int(np.searchsorted(shared.value, d, "left")) for d in own])
             for a, b in _runs(of, BLOCK_DOCS // 8):
                 if shard is not None and (of[a] != shard or len(keys) >= BLOCK_DOCS or held >= BLOCK_IDS):
