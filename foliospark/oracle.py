@@ -255,4 +255,16 @@ ORACLES: dict[str, str] = {
         SELECT lang, CAST(hits AS BIGINT) AS hits, CAST(scored AS BIGINT) AS scored, CASE WHEN scored > 0 THEN round(100.0 * hits / scored, 0) END AS percent FROM z""",
     "q63_containment_large": f"""WITH {CLAIMS} SELECT claim_id, min(c_custkey) AS emp_id FROM cl JOIN customer ON contains(lower(replace(person_name, ' ', '')), lower(c_name)) WHERE k % 20 = 0 GROUP BY claim_id""",
     "q64_new_rows": f"WITH {CASES} SELECT case_id, n_files FROM c WHERE n_files % 2 = 1",
+    "q65_json_rows": f"""WITH {CLAIMS} SELECT CAST(to_json({{'claim_id': claim_id, 'start': strftime(s, '%Y-%m-%d'), 'days': n, 'dx_code': dx_code, 'phrase': phrase}}) AS VARCHAR) AS value FROM cl""",
+    "q66_without_catalogue": f"""WITH {CLAIMS} SELECT claim_id, false AS there, CAST(NULL AS INTEGER) AS emp_id, CAST(NULL AS INTEGER) AS dx_id,
+        CASE WHEN kind = 'incapacidad' THEN 1 END AS ins_id, coalesce(person_name, '?') AS name FROM cl WHERE k % 10 = 0""",
+    "q67_point_lookup": f"WITH {MAPPED} SELECT id, estado, idlptipoausentismo, cedula_leida FROM st WHERE id = 42",
+    "q68_label_tables": """SELECT unnest([2, 3, 5, 7, 8, 9, 10, 11, 12, 13]) AS code, unnest(['ACCIDENTE DE TRABAJO', 'ENFERMEDAD GENERAL', 'LICENCIA MATERNIDAD', 'LICENCIA NO REMUNERADA',
+          'ENFERMEDAD LABORAL', 'LICENCIA PATERNIDAD', 'PRELICENCIA', 'TRANSITO NO LABORAL', 'LICENCIA REMUNERADA', 'VACACIONES']) AS label, 'lptipoausentismo' AS kind
+        UNION ALL SELECT unnest(range(1, 15)), unnest(['INDEFINIDO', 'LEVE', 'SEVERO', 'GRAVE', 'MORTAL', 'CALIFICADA', 'NO CALIFICADA', 'CRITICA', 'NO CRITICA', 'CRITICO',
+          'NO CRITICO', 'NO APLICA', 'NO APLICA.', 'NO APLICA..']), 'lpnivelincapacidad'
+        UNION ALL SELECT unnest([1, 2, 3]), unnest(['ORIGINAL', 'WHATSAPP', 'CORREO']), 'lpestadosrecepausentismos'""",
+    "q69_page_sizes": """WITH x AS (SELECT p_partkey, CAST(p_partkey % 97 * 150 + 100 AS INTEGER) AS w, CAST(p_partkey % 89 * 140 + 50 AS INTEGER) AS h, p_partkey * 7001 % 70000000 AS size FROM part)
+        SELECT p_partkey, true AS fits, CASE WHEN p_partkey % 5 = 0 THEN 415 WHEN size > 52428800 THEN 413 WHEN size = 0 THEN 400 END AS refused,
+        CASE WHEN w::BIGINT * h <= 40000000 THEN w ELSE greatest(1, CAST(floor(w * sqrt(40000000 / (w::BIGINT * h))) AS INTEGER)) END AS width FROM x""",
 }

@@ -14,6 +14,7 @@ from ..functions.replies import json_text, reply_failed
 from ..operators import cases as case_ops
 from ..operators import mapper, merge, review
 from ..operators.reconcile import reconcile
+from ..sources.session import settled
 from .certificate import add_record
 
 #: Characters of text below which nothing is extracted.
@@ -131,7 +132,8 @@ def process_cases(
             "failed": F.col("error").isNotNull(),
         }
     )
-    return mapped.withColumn("complete", (F.col("documents") == "COMPLETA") & ~F.col("needs_review")), stray
+    # staging rows, alerts, routes and counters all come from this one result
+    return settled(mapped.withColumn("complete", (F.col("documents") == "COMPLETA") & ~F.col("needs_review"))), stray
 
 
 def staged(mapped: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .functions import codes, dates, names, replies, text
-from .operators import cases, mapper, merge, reconcile, report, resolve, review
+from .operators import cases, mapper, merge, output, reconcile, report, resolve, review
 from .oracle import ORACLES
 from .plans import pipeline
-from .sources import pages, views
+from .sources import catalog, inbox, pages, views
 from .sources.views import table
 
 TODAY = date(2031, 1, 1)
@@ -424,3 +424,44 @@ def q64_new_rows(spark, d):
     return review.new_rows(rows, stored).select("case_id", "n_files")
 
 
+
+
+@query
+def q65_json_rows(spark, d):
+    own = views.claims(spark, d).select("claim_id", "start", "days", "dx_code", "phrase")
+    return output.json_rows(own)
+
+
+@query
+def q66_without_catalogue(spark, d):
+    """Claims where the catalogue can't be read: nothing is found, and each case says what is missing."""
+
+    def load():
+        raise ConnectionError("no catalogue")
+
+    dims, there = catalog.dims_or_empty(spark, load)
+    rows = pipeline.reconcile_record(views.case_rows(spark, d).where(F.col("claim_id") % 10 == 0))
+    mapped = mapper.map_to_staging(rows, dims, TODAY, "claim_id")
+    return mapped.select("claim_id", F.lit(there).alias("there"), "emp_id", "dx_id", "ins_id", F.coalesce("paciente_leido", F.lit("?")).alias("name"))
+
+
+@query
+def q67_point_lookup(spark, d):
+    return _staging(spark, d).where(F.col("id") == 42).select("id", "estado", "idlptipoausentismo", "cedula_leida")
+
+
+@query
+def q68_label_tables(spark, d):
+    own = [catalog.labels(spark, n).toDF("code", "label").withColumn("kind", F.lit(n)) for n in sorted(catalog.LABELS)]
+    return own[0].unionByName(own[1]).unionByName(own[2])
+
+
+@query
+def q69_page_sizes(spark, d):
+    """Page sizes scaled to the cap on pixels, and refusals of uploads, over sizes made from parts."""
+    k = F.col("p_partkey")
+    width, height = (k % 97 * 150 + 100).cast("int"), (k % 89 * 140 + 50).cast("int")
+    own = table(spark, d, "part").select("p_partkey", width.alias("w"), height.alias("h"), (k * 7001 % 70_000_000).alias("size"))
+    size = pages.capped_size(F.col("w"), F.col("h"))
+    reason = inbox.upload_reason(k % 5 != 0, F.col("size"), pages.MAX_UPLOAD)
+    return own.select("p_partkey", (size["width"].cast("bigint") * size["height"] <= pages.MAX_PIXELS).alias("fits"), reason.alias("refused"), size["width"].alias("width"))

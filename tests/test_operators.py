@@ -270,3 +270,29 @@ def test_routes_and_alerts(spark):
     assert got["a/1_x.pdf"] == ("procesados/ANA LUZ/2031/01/03/1_x.pdf", True)
     assert got["q.pdf"] == ("inbox/sin_nomenclatura/q.pdf", False)
     assert got["2_y.pdf"][0] == "incompletos/SIN NOMBRE 2/sin_fecha/2_y.pdf" and got["3_z.pdf"][0] == "cuarentena/3/3_z.pdf"
+
+
+def test_catalogue_tables_and_command_line(spark, tmp_path):
+    from foliospark import cli
+    from foliospark.sources import catalog
+
+    name = "folio_test"
+    spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+    try:
+        catalog.create_tables(spark, name)
+        spark.sql(f"INSERT INTO {name}.lpempleados VALUES (1, '80011122', 'MARTA LUNA', 'FARO', false)")
+        assert spark.table("vlpempleados").first()["nombrecompleto"] == "MARTA LUNA"
+        assert spark.table(f"{name}.lpnivelincapacidad").count() == 14
+        dims, there = catalog.dims_or_empty(spark, lambda: catalog.dims_of_tables(spark, name))
+        assert there and dims["employees"].count() == 1
+        dims, there = catalog.dims_or_empty(spark, lambda: catalog.dims_of_tables(spark, "no_such_database"))
+        assert not there and dims["employees"].count() == 0
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "80011122_INCAPACIDAD.pdf").write_text("CERTIFICADO DE INCAPACIDAD MEDICA CC 80011122; desde: 2031-02-04, hasta: 2031-02-06")
+        (tmp_path / "in" / "odd.pdf").write_text("x")
+        assert list(cli.main([str(tmp_path / "in"), "--text-only"], spark)) == ["80011122_INCAPACIDAD.pdf"]
+        done = cli.main([str(tmp_path / "in"), "--database", name, "--out", str(tmp_path / "out")], spark)
+        assert (done["casos_total"], done["sin_nomenclatura"], done["cuarentena"], done["catalogue"]) == (1, 1, 0, True)
+        assert spark.read.parquet(str(tmp_path / "out")).first()["idlpempleado"] == 1
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
