@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to Python: long texts must not pile up in a worker.
 ARROW_ROWS = 1000
+#: Makes plans made while it holds drop their shuffle files when they have run.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows handled at once inside a Python worker.
 SLICE_ROWS = 256
 
@@ -45,9 +49,25 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written to the shared checkpoint folder and read from there, so that a lost executor costs no recomputation. What
+    the plan shuffled for it goes once it is written, where this Spark can do that."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more, now rather than at some later collection.
+    The second round takes what the first one has let go."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def id_text(doc_id: str = "doc_id") -> Column:

@@ -3,35 +3,56 @@
 A line is the set of its lower-cased words. Equal lines are one class, held by its first occurrence. Words are ordered by
 rarity over the whole corpus (occurrences by hash bucket of the word, then the hash), so the prefix of a class holds its
 rarest words, and two classes of Jaccard similarity NUM / DEN or more share a word of their prefixes. Candidates must also
-pass filters on length, on the position of the shared word, and on a parity sketch of 64 bits that the sizes of the
-sets' difference bound; the classes that have one are verified on whole word sets. A line is removed if an equal line or
-one as similar occurs earlier, by doc_id and line number.
+pass filters on length, on the position of the shared word, and on a parity sketch of 64 bits that the size of the sets'
+difference bounds; those left are verified on whole word sets. A line is removed if an equal line or one as similar occurs
+earlier, by doc_id and line number.
+
+All joins that look for partners are semi joins, so no group of similar lines is written out as pairs. The steps end in
+small tables in the shared folder; what a step shuffled goes when it is done.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: The least similarity is NUM / DEN.
 NUM, DEN = 4, 5
 #: Buckets of the words' rarity table, a binary literal of as many bytes.
 BUCKETS = 1 << 14
+#: Sketches of 64 bits, each of its share of the words, that lines left over must pass.
+WIDE = 4
+#: Shared words by which a line is first compared; lines left over are compared by all.
+FIRST = 2
+
+
+def _plain(c: Column) -> Column:
+    """Lower case, white space other than line feeds as spaces."""
+    out = F.lower(c)
+    for blank in ("\t", "\r", "\x0b", "\x0c"):
+        out = F.replace(out, F.lit(blank), F.lit(" "))
+    return out
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _words(c: Column) -> Column:
+    return F.array_remove(F.split(c, " "), "")
+
+
+def _lines(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, line_no (from 0) and line of every line with a word."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", F.trim(F.regexp_replace(F.lower("line"), r"[\s]+", " ")).alias("line")).where(F.col("line") != "")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), _plain(F.col("text")).alias("__t"), *more)
+    return rows.select("doc_id", *more, F.posexplode(F.split("__t", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
-def rarity_table(lines: DataFrame) -> bytes:
+def rarity_table(docs: DataFrame) -> bytes:
     """By bucket of a word's hash a byte from 33 to 126 that grows with the logarithm of the words in the bucket. Only this
     table of fixed size comes to the driver."""
-    word = lines.select(F.explode(F.split("line", " ")).alias("w"))
+    word = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count()
     level = F.chr(F.least(F.lit(126), F.lit(33) + F.floor(F.log2("count") * 3)).cast("bigint"))
-    every = lines.sparkSession.range(BUCKETS).withColumnRenamed("id", "b")
+    every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "b")
     rows = (
         every.join(counts.select("b", level.alias("c")), "b", "left")
         .select(F.expr("b div 512").alias("g"), F.struct("b", F.coalesce("c", F.lit("!")).alias("c")).alias("x"))
@@ -47,66 +68,105 @@ def _keys(line: Column, rarity: bytes) -> Column:
         byte = F.substring(F.lit(bytearray(rarity)), F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1))
         return F.shiftleft(F.ascii(byte.cast("string")).cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
     return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
 
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _parity(keys: Column) -> Column:
+    """64 bits, each the parity of the words whose hash has its number: two sets differ in at least as many words as bits."""
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(_bit(k)))
+
+
+def _share(w: int):
+    """Whether a word belongs to wide sketch number w."""
+    return lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(WIDE - 1)) == w
+
+
 def _prefix(n: Column, num: int, den: int) -> Column:
     return n - F.ceil(n * num / F.lit(den)).cast("int") + 1
 
 
-def _like(a: str, b: str, num: int, den: int) -> Column:
-    """What two classes that share a word must pass before they are compared: length, position and sketch."""
-    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    left = F.least(x - F.col(f"{a}.at"), y - F.col(f"{b}.at"))
-    differ = F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch")))
+def _like(num: int, den: int) -> Column:
+    """What two lines a, b that share a word must pass before they are compared: length, position and sketch."""
+    x, y = F.col("a.n"), F.col("b.n")
+    left = F.least(x - F.col("a.at"), y - F.col("b.at"))
+    differ = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
     return (
         (x * num <= y * den)
         & (y * num <= x * den)
         & ((left * (num + den)) >= (x + y) * num)
         & (differ * (num + den) <= (x + y) * (den - num))
-        & ((F.col(f"{a}.h") != F.col(f"{b}.h")) | (F.col(f"{a}.c") != F.col(f"{b}.c")))
     )
 
 
-def _probes(classes: DataFrame, num: int, den: int, *more: str) -> DataFrame:
-    """A row for each prefix word of each class; at counts the words before it."""
-    sized = classes.withColumn("n", F.size("keys"))
-    ready = sized.select(
-        "h", "c", "n", *more,
-        F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(_bit(k))).alias("sketch"),
-        F.slice("keys", F.lit(1), _prefix(F.col("n"), num, den)).alias("prefix"),
-    )
-    return ready.select("h", "c", "n", "sketch", *more, F.posexplode("prefix").alias("at", "k"))
+def _place(side: str) -> Column:
+    return F.struct(f"{side}.doc_id", f"{side}.line_no")
 
 
-def _bit(k: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
+def first_occurrences(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no of the first of all equal lines; equal by 96 bits of hashes of the whole line."""
+    keys = _lines(docs).select(F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("c"), "doc_id", "line_no")
+    return keys.groupBy("h", "c").agg(F.min(F.struct("doc_id", "line_no")).alias("p")).select("p.doc_id", "p.line_no")
+
+
+def _word_sets(docs: DataFrame, lines: DataFrame, rarity: bytes) -> DataFrame:
+    """doc_id, line_no and keys of the lines named. The short lists of line numbers meet the texts by doc_id."""
+    wanted = lines.groupBy("doc_id").agg(F.collect_list("line_no").alias("__own")).withColumnRenamed("doc_id", "__id")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    met = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).drop("__id")
+    own = _lines(met, "__own").where(F.array_contains("__own", F.col("line_no")))
+    return own.select("doc_id", "line_no", _keys(F.col("line"), rarity).alias("keys"))
+
+
+def _shared_words(docs: DataFrame, firsts: DataFrame, rarity: bytes, num: int, den: int) -> DataFrame:
+    """A row for each prefix word of each line that a like line shares: k, doc_id, line_no, n, sketch, at."""
+    sets = _word_sets(docs, firsts, rarity).withColumn("n", F.size("keys"))
+    ready = sets.select(
+        "doc_id", "line_no", "n",
+        _parity(F.col("keys")).alias("sketch"),
+        F.slice("keys", F.lit(1), _prefix(F.col("n"), num, den)).alias("prefix"),
+    )
+    rows = ready.select("doc_id", "line_no", "n", "sketch", F.posexplode("prefix").alias("at", "k"))
+    return rows.alias("a").join(rows.alias("b"), (F.col("a.k") == F.col("b.k")) & (_place("a") != _place("b")) & _like(num, den), "left_semi")
+
+
+def _near_copies(docs: DataFrame, firsts: DataFrame, rarity: bytes, num: int, den: int) -> DataFrame:
+    """doc_id, line_no of the first occurrences that are like an earlier one."""
+    spark, place = docs.sparkSession, ["doc_id", "line_no"]
+    shared = common.cut(_shared_words(docs, firsts, rarity, num, den))
+    common.tidy(spark)
+    sets = common.cut(_word_sets(docs, shared.select(*place).distinct(), rarity))
+    common.tidy(spark)
+    earlier = (F.col("a.k") == F.col("b.k")) & (_place("b") < _place("a")) & _like(num, den)
+    wide = sets.select(*place, *[_parity(F.filter("keys", _share(w))).alias(f"s{w}") for w in range(WIDE)])
+    differ = sum((F.bit_count(F.col(f"a.s{w}").bitwiseXOR(F.col(f"b.s{w}"))) for w in range(WIDE)), F.lit(0))
+    closer = differ * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num)
+    alike = F.size(F.array_intersect("a.keys", "b.keys")) * (num + den) >= (F.col("a.n") + F.col("b.n")) * num
+
+    # lines that have an earlier like one: first by the rarest of their shared words, those left over by all of them
+    order = Window.partitionBy(*place).orderBy("at")
+    few = shared.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= FIRST).drop("__r").join(sets, place)
+    found = common.cut(few.alias("a").join(few.alias("b"), earlier & alike, "left_semi").select(*place).distinct())
+    rows = shared.join(wide, place)
+    rest = rows.join(found, place, "left_anti").alias("a").join(rows.alias("b"), earlier & closer, "left_semi")
+    rest = common.cut(rest.select(*shared.columns))
+    against = shared.join(rest.select("k").distinct(), "k", "left_semi")
+    more = rest.join(sets, place).alias("a").join(against.join(sets, place).alias("b"), earlier & alike, "left_semi")
+    return common.cut(found.unionByName(more.select(*place).distinct()))
 
 
 def first_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, line_no of the lines that stay."""
-    lines = _lines(docs)
-    rarity = rarity_table(lines)
-    classes = (
-        lines.groupBy(F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("c"))
-        .agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"))
-        .select("h", "c", "first.doc_id", "first.line_no", "first.line")
-    )
-    probes = _probes(classes.select("h", "c", _keys(F.col("line"), rarity).alias("keys")), num, den)
-    suspects = (
-        probes.alias("a").join(probes.alias("b"), (F.col("a.k") == F.col("b.k")) & _like("a", "b", num, den), "left_semi").select("h", "c").distinct()
-    )
-    sets = classes.join(suspects, ["h", "c"], "left_semi").select("h", "c", "doc_id", "line_no", _keys(F.col("line"), rarity).alias("keys"))
-    own = _probes(sets, num, den, "doc_id", "line_no", "keys")
-    earlier = F.struct("b.doc_id", "b.line_no") < F.struct("a.doc_id", "a.line_no")
-    shared = F.size(F.array_intersect("a.keys", "b.keys"))
-    alike = shared * (num + den) >= (F.col("a.n") + F.col("b.n")) * num
-    later = (
-        own.alias("a").join(own.alias("b"), (F.col("a.k") == F.col("b.k")) & earlier & _like("a", "b", num, den) & alike, "left_semi")
-        .select("h", "c").distinct()
-    )
-    return classes.join(later, ["h", "c"], "left_anti").select("doc_id", "line_no")
+    spark = docs.sparkSession
+    firsts = common.cut(first_occurrences(docs))
+    common.tidy(spark)
+    near = _near_copies(docs, firsts, rarity_table(docs), num, den)
+    common.tidy(spark)
+    return firsts.join(near, ["doc_id", "line_no"], "left_anti")
 
 
 def line_decisions(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -116,14 +176,11 @@ def line_decisions(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     Rows of one doc_id are one document, so repeated rows get the same decision. An empty table gives no rows.
     """
     kept = first_lines(docs, num, den).groupBy("doc_id").agg(F.collect_list("line_no").alias("kept")).withColumnRenamed("doc_id", "__id")
-    full = F.filter(
-        F.transform(F.split("text", "\n"), lambda x, i: F.when(F.trim(F.regexp_replace(x, r"[\s]+", " ")) != "", i)), lambda i: i.isNotNull()
-    )
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(full, F.array().cast("array<int>")).alias("full"))
+    full = F.filter(F.transform(F.split(_plain(F.col("text")), "\n"), lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+    none = F.array().cast("array<int>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(full, none).alias("full"))
     joined = rows.join(kept, F.col("doc_id") == F.col("__id"), "left")
-    gone = F.when(F.col("doc_id").isNull(), F.array().cast("array<int>")).otherwise(
-        F.array_except("full", F.coalesce("kept", F.array().cast("array<int>")))
-    )
+    gone = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_except("full", F.coalesce("kept", none)))
     return joined.select("doc_id", F.size("full").alias("n_lines"), F.size(gone).alias("n_removed"), gone.alias("removed"))
 
 
@@ -133,8 +190,12 @@ def drop_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
         line_decisions(docs, num, den).where(F.col("n_removed") > 0)
         .select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed")).dropDuplicates(["__id"])
     )
+    some = common.cut(some)
+    common.tidy(docs.sparkSession)
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left)
-    out = docs.join(some, F.col("doc_id") == F.col("__id"), "left").withColumn("__text", text)
-    named = {"text": F.col("__text"), "n_chars": F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("__text")) if "n_chars" in docs.columns else None}
+    out = docs.join(some.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").withColumn("__text", text)
+    named = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        named["n_chars"] = F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("__text"))
     return out.select(*[named[c].cast(docs.schema[c].dataType).alias(c) if c in named else F.col(f"`{c}`") for c in docs.columns])
