@@ -95,7 +95,7 @@ def digits(c: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def suffix(path: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import BASE_DOCUMENTS, RECEPTION, canonical_document, default_requirements, document_group, missing_documents
-from ..functions.text import blank_to_null, stem, strip, suffix
+from ..functions.text import stem, strip, suffix
 
 #: Extensions taken in, the folder of misnamed files, and the grammar of names: number, type, counter.
 EXTENSIONS = (".pdf", ".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff")
@@ -30,9 +30,11 @@ def inbox_files(files: DataFrame, path: str = "path") -> DataFrame:
 
 def parse_names(files: DataFrame, path: str = "path") -> DataFrame:
     """Adds id_number, doc_type (capitals), counter and case_id from the file name; all null if it breaks the grammar."""
-    name = stem(F.col(path))
-    part = lambda g: blank_to_null(F.regexp_extract(name, NAME, g))
-    return files.withColumns({"id_number": part(1), "doc_type": F.upper(part(2)), "counter": part(3), "case_id": part(1)})
+    named = files.withColumn("__stem", stem(F.col(path)))
+    # the grammar holds no other separators than these two, so one match and one split give all parts
+    named = named.withColumn("__parts", F.when(F.col("__stem").rlike(NAME), F.split(F.translate("__stem", "-", "_"), "_")))
+    part = lambda k: F.get("__parts", F.lit(k))
+    return named.withColumns({"id_number": part(0), "doc_type": F.upper(part(1)), "counter": part(2), "case_id": part(0)}).drop("__stem", "__parts")
 
 
 def split_names(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +51,7 @@ def cases(parsed: DataFrame, path: str = "path") -> DataFrame:
         parsed.where(F.col("case_id").isNotNull())
         .groupBy("case_id")
         .agg(
-            F.array_sort(F.collect_set(canonical_document(F.col("doc_type")))).alias("present"),
+            F.collect_set("doc_type").alias("present"),
             F.count("*").alias("n_files"),
             F.count_if(is_base).alias("n_base"),
             F.min(F.when(is_base, F.col(path))).alias("base"),
@@ -57,6 +59,7 @@ def cases(parsed: DataFrame, path: str = "path") -> DataFrame:
             F.min(path).alias("first_path"),
             F.min_by("channel", path).alias("channel"),
         )
+        .withColumn("present", F.array_sort(F.array_distinct(F.filter(F.transform("present", canonical_document), lambda x: x.isNotNull()))))
     )
 
 
@@ -73,9 +76,10 @@ def check_default_documents(df: DataFrame, type_id: Column, present: Column) ->
 
 def missing_by_anti_join(required: DataFrame, present: DataFrame, case_id: str = "case_id", document: str = "document") -> DataFrame:
     """The rows of required (case, document) whose group has no row in present (case, document)."""
-    own = present.select(F.col(case_id).alias("__c"), document_group(canonical_document(F.col(document))).alias("__g")).distinct()
-    grouped = document_group(canonical_document(F.col(document)))
-    return required.join(own, (F.col(case_id) == F.col("__c")) & (grouped == F.col("__g")), "left_anti")
+    own = present.select(F.col(case_id).alias("__c"), F.col(document).alias("__d")).distinct()
+    own = own.withColumn("__d", canonical_document(F.col("__d"))).select("__c", document_group(F.col("__d")).alias("__g"))
+    asked = required.withColumn("__x", canonical_document(F.col(document))).withColumn("__x", document_group(F.col("__x")))
+    return asked.join(own, (F.col(case_id) == F.col("__c")) & (F.col("__x") == F.col("__g")), "left_anti").drop("__x")
 
 
 def run_summary(done: DataFrame, misnamed: DataFrame, complete: Column, failed: Column) -> DataFrame:

@@ -19,14 +19,13 @@ def _or(kind: str, first: Column, second: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), second) if kind == "string" else F.coalesce(first, second)
 
 
-def merged(rule: str, model: str, text: Column) -> Column:
-    """The record fused from two record columns.
+def merged(rule: str, model: str, text: Column, held: Column) -> Column:
+    """The record fused from two record columns; held are the dates of the text.
 
     Identity numbers come from the rules if there, all else from the model if there. A date counts only if the text holds
     it (if there is a text); the start comes from the rules if it is anchored to its label, and then the days too. The
     kind of document and what its rules alone know (the permit's section) stay the rules'.
     """
-    held = dates_in(text)
     some = F.coalesce(F.length(text) > 0, F.lit(False))
     values: dict[str, Column] = {"tipo_documento": F.col(f"{rule}.tipo_documento")}
     for section, fields in SECTIONS.items():
@@ -54,4 +53,5 @@ def merged(rule: str, model: str, text: Column) -> Column:
 def merge(df: DataFrame, rule: str, model: str, failed: Column, text: Column, out: str = "record") -> DataFrame:
     """The fused record, or the rules' alone for permits and where the model failed."""
     alone = F.coalesce(failed, F.lit(True)) | (F.col(f"{rule}.tipo_documento") == "permiso")
-    return df.withColumn(out, F.when(alone, F.col(rule)).otherwise(merged(rule, model, text)))
+    dated = df.withColumn("__dates", dates_in(text))
+    return dated.withColumn(out, F.when(alone, F.col(rule)).otherwise(merged(rule, model, text, F.col("__dates")))).drop("__dates")

@@ -128,7 +128,9 @@ def insurer_by_keyword(df: DataFrame, insurers: DataFrame, text: Column, prefix:
         if not rows:
             return df.withColumns({n: F.lit(None).cast(k) for n, k in kinds.items()})
         held = df.withColumn("__text", squash(text))
-        held = held.withColumn("__hit", F.get(F.filter(F.array(*rows), lambda r: F.contains(F.col("__text"), r["key"])), F.lit(0)))
+        # named twice, so that the text is folded once a row and not for each keyword
+        first = F.get(F.filter(F.array(*rows), lambda r: F.contains(F.col("__text"), r["key"])), F.lit(0))
+        held = held.withColumn("__hit", F.when(F.length("__text") > 0, first))
         return held.withColumns({n: F.col("__hit")[n] for n in names}).drop("__text", "__hit")
     keyed = settled(df.withColumn("__text", squash(text)))
     reads = keyed.select("__text").distinct().withColumn("__read", F.col("__text"))
