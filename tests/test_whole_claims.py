@@ -32,3 +32,11 @@ def test_all_claims_are_looked_up_in_the_index(spark, names):
     got = QUERIES["q63_containment_large"](spark, SMALL).collect()
     assert len(got) == len(want) and {r["claim_id"]: r["emp_id"] for r in got} == want
     assert any(c % 20 for c in want)
+
+
+def test_all_claims_go_without_a_catalogue(spark):
+    claims = views.claims(spark, SMALL).select("claim_id", "kind", "person_name").collect()
+    want = {r["claim_id"]: (False, None, None, 1 if r["kind"] == "incapacidad" else None, r["person_name"] or "?") for r in claims}
+    got = QUERIES["q66_without_catalogue"](spark, SMALL).collect()
+    assert len(got) == len(want) and {r["claim_id"]: tuple(r)[1:] for r in got} == want
+    assert any(c % 10 for c in want)
