@@ -17,6 +17,8 @@ from .sources.views import table
 
 TODAY = date(2031, 1, 1)
 KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+#: Different words of the lexicon that splits glued part names; more are refused.
+MAX_LEXICON = 100_000
 QUERIES: dict = {}
 
 
@@ -393,7 +395,9 @@ def q60_accuracy(spark, d):
 @query
 def q61_wordbreak(spark, d):
     """Part names with their words run together, split by the lexicon of those words."""
-    words = [r[0] for r in table(spark, d, "part").select(F.explode(F.split(F.upper("p_name"), " "))).distinct().limit(500).collect()]
+    words = [r[0] for r in table(spark, d, "part").select(F.explode(F.split(F.upper("p_name"), " "))).distinct().limit(MAX_LEXICON + 1).collect()]
+    if len(words) > MAX_LEXICON:
+        raise ValueError(f"more than {MAX_LEXICON} different words in p_name")
     glued = F.replace(F.upper("p_name"), F.lit(" "), F.lit(""))
     return table(spark, d, "part").select("p_partkey", names.split_glued(glued, sorted(words)).alias("parts"), names.short_name(F.col("p_name"), ()).alias("short"))
 
