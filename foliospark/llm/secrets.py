@@ -2,7 +2,8 @@
 
 Candidates are the base patterns' matches and all runs of LEAST or more token characters that hold a digit. The network is
 trained in numpy on labelled findings (made by rule: keys of many formats against identifiers, numbers, paths and the like,
-set into sentences of a sample of the corpus); its scores are calibrated, and its threshold is the highest that keeps the
+set into sentences of a sample of the corpus); a long candidate is scored in overlapping pieces, and the largest score
+counts; scores are calibrated, and its threshold is the highest that keeps the
 recall asked for on findings not trained on. Candidates from the threshold on that touch no base match become spans of
 kind `model`; base spans stay whatever the network says.
 """
@@ -83,8 +84,14 @@ def worth_a_look(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def pieces(start: int, end: int) -> list[tuple[int, int]]:
+    """A candidate in overlapping pieces of INSIDE characters, the last one at its end; a short one is its own piece."""
+    last = max(start, end - INSIDE)
+    return [(at, min(end, at + INSIDE)) for at in (*range(start, last, INSIDE // 2), last)]
+
+
 def encode(text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Character numbers around a candidate, and where the candidate is."""
+    """Character numbers around a piece of a candidate, and where the piece is."""
     left, right = max(0, start - BEFORE), min(end, start + INSIDE)
     x, inside = np.zeros(LENGTH, np.int8), np.zeros(LENGTH, np.float32)
     for place, part in ((BEFORE - (start - left), text[left:start]), (BEFORE, text[start:right]), (BEFORE + INSIDE, text[end : end + AFTER])):
@@ -166,6 +173,17 @@ class CharCNN:
         return 1 / (1 + np.exp(-np.clip(self.slope * out + self.shift, -30, 30)))
 
 
+def best_scores(net: CharCNN, text: str, places: list[tuple[int, int]]) -> np.ndarray:
+    """Of each place in the text the largest score of any of its pieces."""
+    parts = [(k, *p) for k, (a, b) in enumerate(places) for p in pieces(a, b)]
+    out = np.zeros(len(places))
+    for at in range(0, len(parts), 512):
+        few = parts[at : at + 512]
+        own = [encode(text, a, b) for _, a, b in few]
+        np.maximum.at(out, [k for k, _, _ in few], net.scores(np.array([o[0] for o in own]), np.array([o[1] for o in own])))
+    return out
+
+
 def labelled_findings(contexts: list[str], n: int = FINDINGS, seed: int = 3) -> list[tuple[str, int, int, int]]:
     """(text, start, end, label) of findings made by rule, half of them secrets, between words of the contexts."""
     rng = np.random.default_rng(seed)
@@ -250,8 +268,7 @@ def findings_of(text: str, net: CharCNN) -> tuple[list, list, float | None]:
     places = sorted({(a, b) for a, b, _ in base} | set(candidates(text)))
     if not places:
         return base, [], None
-    own = [encode(text, a, b) for a, b in places]
-    scores = np.concatenate([net.scores(np.array([o[0] for o in own[k : k + 512]]), np.array([o[1] for o in own[k : k + 512]])) for k in range(0, len(own), 512)])
+    scores = best_scores(net, text, places)
     starts = np.array([s[0] for s in base], np.int64)
     reach = np.maximum.accumulate(np.array([s[1] for s in base], np.int64)) if base else starts
     added = []

@@ -1,0 +1,34 @@
+"""Secret candidates are found and judged whole."""
+
+import random
+import string
+
+import numpy as np
+from foliospark.llm import secrets
+
+
+class Sees:
+    """In place of the network: 1 where a piece holds a Q."""
+
+    threshold = 0.5
+
+    def scores(self, x, inside):
+        return ((x == ord("Q") - 30) & (inside > 0)).any(axis=1).astype(float)
+
+
+def test_every_part_of_a_long_candidate_is_read():
+    for n in (16, 47, 48, 49, 72, 100, 1000):
+        for at in range(0, n, 7):
+            run = "".join("Q" if k == at else "a1"[k % 2] for k in range(n))
+            assert secrets.findings_of(f"see {run} here", Sees())[2] == 1
+        assert secrets.findings_of(f"see {'a1' * (n // 2)} here", Sees())[2] == 0
+
+
+def test_a_key_behind_a_long_path_is_found():
+    rng = random.Random(8)
+    net = secrets.train(["some words of a text here"] * 5, 1500)
+    key = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(24))
+    glued = [f"hooks.slack.com/services/T00000000/B00000000/{key()}" for _ in range(100)]
+    plain = ["/".join(rng.choice(["some", "words", "of", "text"]) for _ in range(12)) + "/page12.html" for _ in range(100)]
+    share = lambda runs: np.mean([bool(secrets.findings_of(f"see {r} there", net)[1]) for r in runs])
+    assert share(glued) >= 0.9 and share(plain) <= 0.1
