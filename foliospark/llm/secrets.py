@@ -38,6 +38,8 @@ _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in string.ascii_letters + string.digits + "+/_.=-"]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[[ord(c) for c in string.digits]] = True
+_CAPITAL = np.zeros(256, bool)
+_CAPITAL[[ord(c) for c in string.ascii_uppercase]] = True
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -76,7 +78,8 @@ def worth_a_look(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     long = last - first >= LEAST
     first, last = first[long], last[long]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw], dtype=np.int32)])
-    access = (last - first >= ACCESS_LENGTH) & (raw[np.minimum(first, len(raw) - 1)] < 0x61)
+    capitals = np.concatenate([[0], np.cumsum(_CAPITAL[raw], dtype=np.int32)])
+    access = (last - first >= ACCESS_LENGTH) & (capitals[last] > capitals[first])
     hit = first[(digits[last] > digits[first]) | (last - first >= HEX_LENGTH) | access]
     marks = np.flatnonzero((raw == 0x3A) | (raw == 0x3D))
     for places in (hit, marks):

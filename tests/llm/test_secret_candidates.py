@@ -4,7 +4,8 @@ import random
 import string
 
 import numpy as np
-from foliospark.llm import secrets
+import pyarrow as pa
+from foliospark.llm import common, secrets
 
 
 class Sees:
@@ -32,3 +33,10 @@ def test_a_key_behind_a_long_path_is_found():
     plain = ["/".join(rng.choice(["some", "words", "of", "text"]) for _ in range(12)) + "/page12.html" for _ in range(100)]
     share = lambda runs: np.mean([bool(secrets.findings_of(f"see {r} there", net)[1]) for r in runs])
     assert share(glued) >= 0.9 and share(plain) <= 0.1
+
+
+def test_an_access_key_inside_a_run_is_not_passed_over():
+    own = ["an idAKIAABCDEFGHIJKLMN here", "idAKIAABCDEFGHIJKLMN", "nothing of that kind here", "/AKIAABCDEFGHIJKL"]
+    look = secrets.worth_a_look(*common.byte_view(pa.array(own)))
+    assert look.tolist() == [True, True, False, True]
+    assert [len(secrets.base_spans(t)) for t in own] == [1, 1, 0, 1]
