@@ -122,19 +122,27 @@ def sample_ids(rows: DataFrame, label: str, doc_id: str, per_class: int) -> dict
     return out
 
 
-def texts_by_id(docs: DataFrame, ids: list, max_bytes: int) -> dict:
-    """{doc_id: text} of a bounded list of ids; texts beyond max_bytes in total are left out, by ascending hash of the id."""
+def texts_by_id(docs: DataFrame, lists: list[list], max_bytes: int) -> list[dict]:
+    """{doc_id: text} of each of a few bounded lists of ids, in their order. A text that would take its list beyond max_bytes
+    is left out; where that leaves a list no text, the least one stays."""
+    ids = list({i: None for own in lists for i in own})
     if not ids:
-        return {}
+        return [{} for _ in lists]
     got = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text").toLocalIterator()
     texts = {r["doc_id"]: r["text"] or "" for r in got}
-    out, used = {}, 0
-    for i in ids:
-        t = texts.get(i, "")
-        used += len(t)
-        if used > max_bytes:
-            break
-        out[i] = t
+    size = {i: len(t.encode("utf-8", "surrogatepass")) for i, t in texts.items()}
+    out = []
+    for own in lists:
+        kept, used = {}, 0
+        for i in own:
+            if used + size.get(i, 0) <= max_bytes:
+                kept[i] = texts.get(i, "")
+                used += size.get(i, 0)
+        some = [i for i in own if size.get(i)]
+        if some and not used:
+            least = min(some, key=size.get)
+            kept[least] = texts[least]
+        out.append(kept)
     return out
 
 

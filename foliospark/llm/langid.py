@@ -162,14 +162,14 @@ class Scorer:
 
 def train(docs: DataFrame, label: str = "lang", per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES, order: int = ORDER) -> PPM:
     """Statistics from rows not held out that have a label: of each language at most per_language documents, the least by
-    a hash of their id, and at most max_bytes of whole texts."""
+    a hash of their id, and at most max_bytes of whole texts, or the least text where all are larger."""
     rows = docs.where(~common.held_out())
     few = rows.where(F.col(label).isNotNull()).select(label).distinct().limit(MAX_LANGUAGES + 1).collect()
     if len(few) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     ids = common.sample_ids(rows, label, "doc_id", per_language)
-    texts = common.texts_by_id(rows, [i for own in ids.values() for i in own], max_bytes * max(len(ids), 1))
-    return PPM({str(k): [texts[i] for i in own if i in texts] for k, own in ids.items()}, order)
+    texts = common.texts_by_id(rows, list(ids.values()), max_bytes)
+    return PPM({str(k): list(own.values()) for k, own in zip(ids, texts)}, order)
 
 
 def predict(docs: DataFrame, model: PPM) -> DataFrame:

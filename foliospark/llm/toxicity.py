@@ -182,17 +182,16 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
-    """Learns from labelled rows not held out: of each class at most per_class documents, the least by a hash of their id.
+    """Learns from labelled rows not held out: of each class at most per_class documents, the least by a hash of their id,
+    and at most max_bytes of whole texts, or the least text where all are larger.
     A document with conflicting labels counts as toxic; labels other than 0 and 1 are ignored."""
     marks = (
         labels.where(F.col("toxic").isin(0, 1) & ~common.held_out())
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     )
     ids = common.sample_ids(marks, "toxic", "doc_id", per_class)
-    mixed = [i for pair in zip(ids.get(0, []), ids.get(1, [])) for i in pair]
-    mixed += [i for own in ids.values() for i in own[min(map(len, ids.values())) if len(ids) > 1 else 0 :]]
-    texts = common.texts_by_id(docs, mixed, max_bytes)
-    return fit(*([texts[i] for i in ids.get(k, []) if texts.get(i)] for k in (1, 0)))
+    texts = common.texts_by_id(docs, [ids.get(1, []), ids.get(0, [])], max_bytes)
+    return fit(*([t for t in own.values() if t] for own in texts))
 
 
 def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
