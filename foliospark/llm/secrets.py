@@ -1,7 +1,7 @@
 """Secret scanning: base patterns, and a character convolutional network over every candidate and its surroundings.
 
-Candidates are the base patterns' matches and all runs of LEAST or more token characters that hold a digit. The network is
-trained in numpy on labelled findings (made by rule: keys of many formats against identifiers, numbers, paths and the like,
+Candidates are the base patterns' matches and all runs of LEAST or more token characters that hold a digit or a capital.
+The network is trained in numpy on labelled findings (made by rule: keys of many formats against identifiers, numbers, paths and the like,
 set into sentences of a sample of the corpus); a long candidate is scored in overlapping pieces, and the largest score
 counts; scores are calibrated, and its threshold is the highest that keeps the
 recall asked for on findings not trained on. Candidates from the threshold on that touch no base match become spans of
@@ -29,6 +29,8 @@ KINDS = ("assign", "access", "hex", "model")
 #: Least lengths: of an assigned value, an access key, a hexadecimal run, a candidate.
 ASSIGNED, ACCESS_LENGTH, HEX_LENGTH, LEAST = 8, 16, 32, 16
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Of these a candidate has one at least.
+MARKS = frozenset(string.digits + string.ascii_uppercase)
 #: Characters before, of and after a candidate that the network sees.
 BEFORE, INSIDE, AFTER = 24, 48, 8
 LENGTH = BEFORE + INSIDE + AFTER
@@ -36,10 +38,8 @@ LENGTH = BEFORE + INSIDE + AFTER
 CONTEXTS, FINDINGS, RECALL = 200, 4000, 0.98
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in string.ascii_letters + string.digits + "+/_.=-"]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[[ord(c) for c in string.digits]] = True
-_CAPITAL = np.zeros(256, bool)
-_CAPITAL[[ord(c) for c in string.ascii_uppercase]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in MARKS]] = True
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -51,11 +51,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of token characters with a digit, without punctuation at their ends, in order."""
+    """Runs of token characters with a digit or a capital, without punctuation at their ends, in order."""
     out = []
     for m in RUN.finditer(text):
         own = m[0].strip("./_-")
-        if len(own) >= LEAST and any(c in string.digits for c in own):
+        if len(own) >= LEAST and any(c in MARKS for c in own):
             start = m.start() + m[0].index(own)
             out.append((start, start + len(own)))
     return out
@@ -77,10 +77,8 @@ def worth_a_look(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     first, last = np.flatnonzero(begin), np.flatnonzero(end) + 1
     long = last - first >= LEAST
     first, last = first[long], last[long]
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[raw], dtype=np.int32)])
-    capitals = np.concatenate([[0], np.cumsum(_CAPITAL[raw], dtype=np.int32)])
-    access = (last - first >= ACCESS_LENGTH) & (capitals[last] > capitals[first])
-    hit = first[(digits[last] > digits[first]) | (last - first >= HEX_LENGTH) | access]
+    marked = np.concatenate([[0], np.cumsum(_MARK[raw], dtype=np.int32)])
+    hit = first[(marked[last] > marked[first]) | (last - first >= HEX_LENGTH)]
     marks = np.flatnonzero((raw == 0x3A) | (raw == 0x3D))
     for places in (hit, marks):
         out[np.searchsorted(at, places, "right") - 1] = True
@@ -213,7 +211,7 @@ def labelled_findings(contexts: list[str], n: int = FINDINGS, seed: int = 3) ->
         return some(chars["62"], int(rng.integers(20, 40)))
 
     def ordinary() -> str:
-        kind = int(rng.integers(0, 8))
+        kind = int(rng.integers(0, 11))
         if kind == 0:
             return digits(int(rng.integers(16, 20)))
         if kind == 1:
@@ -228,7 +226,14 @@ def labelled_findings(contexts: list[str], n: int = FINDINGS, seed: int = 3) ->
             return "www." + pick(plain) + pick(plain) + pick([".com/", ".org/"]) + pick(plain) + digits(int(rng.integers(1, 6)))
         if kind == 6:
             return "-".join([digits(3), digits(4), digits(4), digits(4)])
-        return pick(plain) * int(rng.integers(3, 6)) + "=" + digits(2)
+        if kind == 7:
+            return pick(plain) * int(rng.integers(3, 6)) + "=" + digits(2)
+        several = [pick(plain) for _ in range(int(rng.integers(3, 9)))]  # no digits: names, titles and paths with capitals
+        if kind == 8:
+            return "".join(w.capitalize() for w in several)
+        if kind == 9:
+            return pick("_-.").join(w.upper() for w in several)
+        return pick("/-._").join(w.capitalize() if rng.random() < 0.6 else w for w in [pick(plain).capitalize(), *several])
 
     lead = ["", "", "", "token = \"", "password=", "key: ", "secret ", "Authorization: Bearer "]
     out = []

@@ -40,3 +40,18 @@ def test_an_access_key_inside_a_run_is_not_passed_over():
     look = secrets.worth_a_look(*common.byte_view(pa.array(own)))
     assert look.tolist() == [True, True, False, True]
     assert [len(secrets.base_spans(t)) for t in own] == [1, 1, 0, 1]
+
+
+def test_keys_without_digits_are_judged_too():
+    made = secrets.labelled_findings(["other words in this text"], 4000, seed=77)
+    for t, a, b, label in made:
+        places = [*secrets.candidates(t), *((s, e) for s, e, _ in secrets.base_spans(t))] if label else [(a, b)]
+        assert any(s < b and e > a for s, e in places)
+    rng = random.Random(6)
+    net = secrets.train(["some words of a text here"] * 5, 1500)
+    some = ["".join(rng.choice(string.ascii_letters) for _ in range(28)) for _ in range(100)]
+    names = ["".join(rng.choice(["Some", "Words", "Other", "Texts"]) for _ in range(5)) for _ in range(100)]
+    share = lambda runs: np.mean([bool(secrets.findings_of(f"see {r} there", net)[1]) for r in runs])
+    assert share(some) >= 0.9 and share(names) <= 0.1
+    own = [f"see {r} there" for r in some]
+    assert secrets.worth_a_look(*common.byte_view(pa.array(own))).all()
