@@ -28,6 +28,8 @@ WORDS, COMMON_BYTES, TOXIC_BYTES = 8, 4096, 8192
 HEAD, TAIL = bytes((37 * i + 11) % 251 for i in range(96)), bytes(range(1, 9))
 #: Bytes of the strings that are compared between the classes.
 GRAM = 5
+#: A shorter word is written several times over, to as many bytes at least: between spaces the compressor can match it then.
+LEAST_WORD = 5
 #: Maps A-Z to a-z and every ASCII byte but letters and digits to a space.
 _FOLD = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(256))
 #: A text is predicted toxic from this score on.
@@ -45,8 +47,9 @@ class Model:
 
 
 def _words(text: str) -> list[bytes]:
-    """The whole text's words: runs of letters, digits and non-ASCII characters, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    """The whole text's words: runs of letters, digits and non-ASCII characters, A-Z lower-cased, short ones repeated."""
+    own = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    return [w if len(w) >= LEAST_WORD else w * -(-LEAST_WORD // len(w)) for w in own]
 
 
 def _windows(text: str, words: int = WORDS) -> list[bytes]:
@@ -133,7 +136,7 @@ def _toxic_words(toxic: list[str], ordinary: list[str], limit: int) -> bytes:
 
 def _common(texts: list[str], limit: int) -> bytes:
     """Ordinary text for both dictionaries, chosen by zstandard's own training on windows of ordinary documents."""
-    samples = [w for t in texts[:400] for w in _windows(t, 12)][:40000]
+    samples = [w for t in texts for w in _windows(t, 12)]
     try:
         raw = zstandard.train_dictionary(limit + 2048, samples, k=64, d=8).as_bytes()
         return raw[-limit:]

@@ -1,5 +1,8 @@
 """Each class that is learned from keeps its share of the bytes, whatever the others hold."""
 
+import random
+
+import pytest
 from foliospark.llm import common, langid, toxicity
 
 DOCS = "doc_id bigint, text string, lang string"
@@ -34,3 +37,26 @@ def test_one_huge_text_does_not_leave_toxicity_without_a_model(spark):
     labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id bigint, toxic int")
     model = toxicity.train(docs, labels, max_bytes=10_000)
     assert b"snorgish" in model.toxic and model.toxic != model.ordinary
+
+
+@pytest.mark.parametrize("bad", [["voxa", "wuzi"], ["vox", "wuz"], ["xv", "qw"], ["x", "w"]])
+def test_toxic_words_of_few_letters(bad):
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+
+    def text(toxic):
+        own = [rng.choice(plain) for _ in range(80)]
+        for at in rng.sample(range(80), 4 * toxic):
+            own[at] = rng.choice(bad)
+        return " ".join(own)
+
+    own = toxicity.Compressor(toxicity.fit([text(1) for _ in range(60)], [text(0) for _ in range(200)]))
+    assert sum(own.score(own.evidence(text(1))) >= toxicity.CUT for _ in range(50)) >= 45
+    assert sum(own.score(own.evidence(text(0))) >= toxicity.CUT for _ in range(50)) <= 2
+
+
+def test_all_ordinary_texts_are_learned_from(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda n, samples, **_: seen.extend(samples) or toxicity.zstandard.ZstdCompressionDict(b"x" * 9000))
+    toxicity._common([f"word{k} other" for k in range(1000)], 4096)
+    assert len(seen) == 1000
