@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -61,13 +60,21 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to any more, now rather than at some later collection.
-    The second round takes what the first one has let go."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+@contextlib.contextmanager
+def stored(df: DataFrame, what: str):
+    """df as a table in the shared folder for as long as the block runs; what leaves the block must not read it any more."""
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        drop_tree(spark, path)
 
 
 def id_text(doc_id: str = "doc_id") -> Column:

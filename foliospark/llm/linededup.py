@@ -1,14 +1,16 @@
 """Line deduplication by an exact set-similarity join, in DataFrame expressions only.
 
 A line is the set of its lower-cased words. Equal lines are one class, held by its first occurrence. Words are ordered by
-rarity over the whole corpus (occurrences by hash bucket of the word, then the hash), so the prefix of a class holds its
-rarest words, and two classes of Jaccard similarity NUM / DEN or more share a word of their prefixes. Candidates must also
-pass filters on length, on the position of the shared word, and on a parity sketch of 64 bits that the size of the sets'
-difference bounds; those left are verified on whole word sets. A line is removed if an equal line or one as similar occurs
-earlier, by doc_id and line number.
-
-All joins that look for partners are semi joins, so no group of similar lines is written out as pairs. The steps end in
-small tables in the shared folder; what a step shuffled goes when it is done.
+rarity: by the number of different lines, over the whole corpus, that hold a word of the same hash bucket, then by the
+word's hash. Any such order makes the join exact; the bucket table, of one fixed size whatever the corpus, tells frequent
+words from rare ones, which is what makes it fast. The prefix of a class holds its rarest words, and two classes of Jaccard
+similarity NUM / DEN or more share a word of their prefixes. Candidates must also pass filters on length, on the position of
+the shared word, and on a parity sketch that the size of the sets' difference bounds; those left are verified on the words
+themselves. A line is removed if an equal line or one as similar occurs earlier, by doc_id and line number.
+
+Arrays are taken apart by the outer forms of explode: for the others Spark adds a filter on the array's size, which repeats
+all that made the array. All joins that look for partners are semi joins, so no group of similar lines is written out as pairs, and Spark may split a
+partition that one prefix word makes large. Steps end in tables in the shared folder; what a step shuffled goes with it.
 """
 
 from __future__ import annotations
@@ -21,80 +23,101 @@ from . import common
 #: The least similarity is NUM / DEN.
 NUM, DEN = 4, 5
 #: Buckets of the words' rarity table, a binary literal of as many bytes.
-BUCKETS = 1 << 14
-#: Sketches of 64 bits, each of its share of the words, that lines left over must pass.
-WIDE = 4
-#: Shared words by which a line is first compared; lines left over are compared by all.
-FIRST = 2
+BUCKETS = 1 << 16
+#: Lines of more words than this have a sketch of 128 bits, others one of 64.
+SHORT = 64
+#: White space that parts words.
+BLANKS = ("\t", "\r", "\x0b", "\x0c")
+#: What names a line: the document, and a number that holds the line's own below a tag of the document's text.
+PLACE = ("doc_id", "line")
 
 
 def _plain(c: Column) -> Column:
     """Lower case, white space other than line feeds as spaces."""
     out = F.lower(c)
-    for blank in ("\t", "\r", "\x0b", "\x0c"):
+    for blank in BLANKS:
         out = F.replace(out, F.lit(blank), F.lit(" "))
     return out
 
 
 def _words(c: Column) -> Column:
-    return F.array_remove(F.split(c, " "), "")
+    """The different words of a line."""
+    return F.array_distinct(F.array_remove(F.split(c, " "), ""))
 
 
-def _lines(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, line_no (from 0) and line of every line with a word."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), _plain(F.col("text")).alias("__t"), *more)
-    return rows.select("doc_id", *more, F.posexplode(F.split("__t", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+def _tag() -> Column:
+    """31 bits of the text's hash above 32 free ones: texts that share a doc_id are told apart, and come in this order."""
+    return F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)), 32)
 
 
-def rarity_table(docs: DataFrame) -> bytes:
-    """By bucket of a word's hash a byte from 33 to 126 that grows with the logarithm of the words in the bucket. Only this
-    table of fixed size comes to the driver."""
-    word = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count()
+def _number(line: Column) -> Column:
+    return line.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
+def first_occurrences(docs: DataFrame) -> DataFrame:
+    """doc_id, line and words (as one string) of the first of all equal lines that have a word."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), _tag().alias("t"), _plain(F.col("text")).alias("x"))
+    lines = rows.select("doc_id", "t", F.posexplode_outer(F.split("x", "\n")).alias("n", "words")).where(F.trim("words") != "")
+    place = F.struct("doc_id", F.col("t").bitwiseOR(F.col("n").cast("bigint")).alias("line"))
+    first = lines.groupBy(F.xxhash64("words").alias("h"), "words").agg(F.min(place).alias("p"))
+    return first.select("p.doc_id", "p.line", "words")
+
+
+def rarity_table(lines: DataFrame) -> bytes:
+    """By bucket of a word's hash a byte from 33 to 126 that grows with the logarithm of the lines that hold such a word. Only
+    this table of fixed size comes to the driver."""
+    word = lines.select(F.explode_outer(F.split("words", " ")).alias("w"))
+    counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
     level = F.chr(F.least(F.lit(126), F.lit(33) + F.floor(F.log2("count") * 3)).cast("bigint"))
-    every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "b")
+    every = lines.sparkSession.range(BUCKETS).withColumnRenamed("id", "b")
     rows = (
         every.join(counts.select("b", level.alias("c")), "b", "left")
-        .select(F.expr("b div 512").alias("g"), F.struct("b", F.coalesce("c", F.lit("!")).alias("c")).alias("x"))
+        .select(F.expr("b div 4096").alias("g"), F.struct("b", F.coalesce("c", F.lit("!")).alias("c")).alias("x"))
         .groupBy("g").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["c"]), "").alias("s"))
     )
     return "".join(r["s"] for r in sorted(rows.collect(), key=lambda r: r["g"])).encode("ascii")
 
 
-def _keys(line: Column, rarity: bytes) -> Column:
-    """The set of a line's words as numbers, rarest first: the rarity's byte above 56 bits of the hash."""
+def _keys(words: Column, rarity: bytes) -> Column:
+    """A key for each different word of a line, rarest first: the rarity's byte above 56 bits of the hash."""
 
     def key(h: Column) -> Column:
-        byte = F.substring(F.lit(bytearray(rarity)), F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1))
+        byte = F.substring(F.lit(bytearray(rarity)), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
         return F.shiftleft(F.ascii(byte.cast("string")).cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
-
-
-def _bit(k: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
+    return F.sort_array(F.transform(F.transform(_words(words), lambda w: F.xxhash64(w)), key))
 
 
 def _parity(keys: Column) -> Column:
     """64 bits, each the parity of the words whose hash has its number: two sets differ in at least as many words as bits."""
-    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(_bit(k)))
-
-
-def _share(w: int):
-    """Whether a word belongs to wide sketch number w."""
-    return lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(WIDE - 1)) == w
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(bit(k)))
 
 
 def _prefix(n: Column, num: int, den: int) -> Column:
     return n - F.ceil(n * num / F.lit(den)).cast("int") + 1
 
 
+def _packed(n: Column, at: Column) -> Column:
+    """Size and place of a word in one number; rows are many, and each column of them is paid for."""
+    return F.shiftleft(n.cast("bigint"), 32).bitwiseOR(at.cast("bigint"))
+
+
+def _size(side: str) -> Column:
+    return F.shiftright(f"{side}.size_at", 32)
+
+
+def _at(side: str) -> Column:
+    return F.col(f"{side}.size_at").bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def _like(num: int, den: int) -> Column:
-    """What two lines a, b that share a word must pass before they are compared: length, position and sketch."""
-    x, y = F.col("a.n"), F.col("b.n")
-    left = F.least(x - F.col("a.at"), y - F.col("b.at"))
-    differ = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
+    """What two lines a, b that share a word must pass before they are compared: length, position and sketch. The two halves
+    of a long line's sketch have the sketch of a short line as their sum."""
+    x, y = _size("a"), _size("b")
+    left = F.least(x - _at("a"), y - _at("b"))
+    even, odd = F.col("a.even").bitwiseXOR(F.col("b.even")), F.col("a.odd").bitwiseXOR(F.col("b.odd"))
+    differ = F.when((x > SHORT) & (y > SHORT), F.bit_count(even) + F.bit_count(odd)).otherwise(F.bit_count(even.bitwiseXOR(odd)))
     return (
         (x * num <= y * den)
         & (y * num <= x * den)
@@ -103,99 +126,95 @@ def _like(num: int, den: int) -> Column:
     )
 
 
-def _place(side: str) -> Column:
-    return F.struct(f"{side}.doc_id", f"{side}.line_no")
+def _prefix_rows(lines: DataFrame, rarity: bytes, num: int, den: int) -> DataFrame:
+    """A row for each prefix word of each line: k (its key), size_at (the line's size, the word's place in the order), the line's
+    place and sketch."""
+    sets = lines.select(*PLACE, _keys(F.col("words"), rarity).alias("keys")).withColumn("n", F.size("keys"))
+    half = F.when(F.col("n") > SHORT, _parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0))
+    ready = sets.select(
+        *PLACE, "n", _parity(F.col("keys")).alias("all"), half.alias("odd"), F.slice("keys", F.lit(1), _prefix(F.col("n"), num, den)).alias("prefix")
+    )
+    own = [*PLACE, "n", F.col("all").bitwiseXOR(F.col("odd")).alias("even"), "odd"]
+    return ready.select(*own, F.posexplode_outer("prefix").alias("at", "k")).select(*PLACE, "k", _packed(F.col("n"), F.col("at")).alias("size_at"), "even", "odd")
 
 
-def first_occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no of the first of all equal lines; equal by 96 bits of hashes of the whole line."""
-    keys = _lines(docs).select(F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("c"), "doc_id", "line_no")
-    return keys.groupBy("h", "c").agg(F.min(F.struct("doc_id", "line_no")).alias("p")).select("p.doc_id", "p.line_no")
+def _another() -> Column:
+    return (F.col("a.doc_id") != F.col("b.doc_id")) | (F.col("a.line") != F.col("b.line"))
 
 
-def _word_sets(docs: DataFrame, lines: DataFrame, rarity: bytes) -> DataFrame:
-    """doc_id, line_no and keys of the lines named. The short lists of line numbers meet the texts by doc_id."""
-    wanted = lines.groupBy("doc_id").agg(F.collect_list("line_no").alias("__own")).withColumnRenamed("doc_id", "__id")
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    met = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).drop("__id")
-    own = _lines(met, "__own").where(F.array_contains("__own", F.col("line_no")))
-    return own.select("doc_id", "line_no", _keys(F.col("line"), rarity).alias("keys"))
+def _earlier() -> Column:
+    return (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.line") < F.col("a.line")))
 
 
-def _shared_words(docs: DataFrame, firsts: DataFrame, rarity: bytes, num: int, den: int) -> DataFrame:
-    """A row for each prefix word of each line that a like line shares: k, doc_id, line_no, n, sketch, at."""
-    sets = _word_sets(docs, firsts, rarity).withColumn("n", F.size("keys"))
-    ready = sets.select(
-        "doc_id", "line_no", "n",
-        _parity(F.col("keys")).alias("sketch"),
-        F.slice("keys", F.lit(1), _prefix(F.col("n"), num, den)).alias("prefix"),
-    )
-    rows = ready.select("doc_id", "line_no", "n", "sketch", F.posexplode("prefix").alias("at", "k"))
-    return rows.alias("a").join(rows.alias("b"), (F.col("a.k") == F.col("b.k")) & (_place("a") != _place("b")) & _like(num, den), "left_semi")
-
-
-def _near_copies(docs: DataFrame, firsts: DataFrame, rarity: bytes, num: int, den: int) -> DataFrame:
-    """doc_id, line_no of the first occurrences that are like an earlier one."""
-    spark, place = docs.sparkSession, ["doc_id", "line_no"]
-    shared = common.cut(_shared_words(docs, firsts, rarity, num, den))
-    common.tidy(spark)
-    sets = common.cut(_word_sets(docs, shared.select(*place).distinct(), rarity))
-    common.tidy(spark)
-    earlier = (F.col("a.k") == F.col("b.k")) & (_place("b") < _place("a")) & _like(num, den)
-    wide = sets.select(*place, *[_parity(F.filter("keys", _share(w))).alias(f"s{w}") for w in range(WIDE)])
-    differ = sum((F.bit_count(F.col(f"a.s{w}").bitwiseXOR(F.col(f"b.s{w}"))) for w in range(WIDE)), F.lit(0))
-    closer = differ * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num)
-    alike = F.size(F.array_intersect("a.keys", "b.keys")) * (num + den) >= (F.col("a.n") + F.col("b.n")) * num
-
-    # lines that have an earlier like one: first by the rarest of their shared words, those left over by all of them
-    order = Window.partitionBy(*place).orderBy("at")
-    few = shared.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= FIRST).drop("__r").join(sets, place)
-    found = common.cut(few.alias("a").join(few.alias("b"), earlier & alike, "left_semi").select(*place).distinct())
-    rows = shared.join(wide, place)
-    rest = rows.join(found, place, "left_anti").alias("a").join(rows.alias("b"), earlier & closer, "left_semi")
-    rest = common.cut(rest.select(*shared.columns))
-    against = shared.join(rest.select("k").distinct(), "k", "left_semi")
-    more = rest.join(sets, place).alias("a").join(against.join(sets, place).alias("b"), earlier & alike, "left_semi")
-    return common.cut(found.unionByName(more.select(*place).distinct()))
-
-
-def first_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, line_no of the lines that stay."""
-    spark = docs.sparkSession
-    firsts = common.cut(first_occurrences(docs))
-    common.tidy(spark)
-    near = _near_copies(docs, firsts, rarity_table(docs), num, den)
-    common.tidy(spark)
-    return firsts.join(near, ["doc_id", "line_no"], "left_anti")
+def _partners(a: DataFrame, b: DataFrame, condition: Column) -> DataFrame:
+    """The rows of a that have a row of b with their word and the condition."""
+    return a.alias("a").join(b.alias("b"), (F.col("a.k") == F.col("b.k")) & condition, "left_semi")
+
+
+def _near_copies(lines: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, line of the first occurrences that are like an earlier one."""
+    like = _like(num, den)
+    rows = _prefix_rows(lines, rarity_table(lines), num, den)
+    shared = common.cut(_partners(rows, rows, like & _another()))
+    later = common.cut(_partners(shared, shared, like & _earlier()))
+    texts = common.cut(lines.join(shared.select(*PLACE).distinct(), list(PLACE), "left_semi"))
+    both = F.size(F.array_intersect(_words(F.col("a.words")), _words(F.col("b.words"))))
+    alike = both * (num + den) >= (_size("a") + _size("b")) * num
+
+    def verified(some: DataFrame) -> DataFrame:
+        others = shared.join(some.select("k").distinct(), "k", "left_semi")
+        found = _partners(some.join(texts, list(PLACE)), others.join(texts, list(PLACE)), like & _earlier() & alike)
+        return common.cut(found.select(*PLACE).distinct())
+
+    # a line's rarest shared word nearly always shows its earlier like line; lines left over are compared by all their words
+    order = Window.partitionBy(*PLACE).orderBy("size_at", "k")
+    found = verified(later.withColumn("r", F.row_number().over(order)).where(F.col("r") == 1).drop("r"))
+    return found.unionByName(verified(later.join(found, list(PLACE), "left_anti")))
+
+
+def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, tag and kept (the numbers of the lines that stay) of each document that keeps a line."""
+    with common.stored(first_occurrences(docs), "lines") as lines:
+        kept = lines.select(*PLACE).join(_near_copies(lines, num, den), list(PLACE), "left_anti")
+        own = kept.groupBy("doc_id", F.col("line").bitwiseAND(F.lit(((1 << 31) - 1) << 32)).alias("tag"))
+        return common.cut(own.agg(F.collect_list(_number(F.col("line"))).alias("kept")))
+
+
+def _decided(rows: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """rows (with doc_id, __tag and __full, the numbers of the lines with a word) and __gone, the numbers of those that go."""
+    kept = kept_lines(docs, num, den).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__own"), F.col("kept").alias("__kept"))
+    joined = rows.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__tag") == F.col("__own")), "left")
+    none = F.array().cast("array<int>")
+    gone = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_except("__full", F.coalesce("__kept", none)))
+    return joined.withColumn("__gone", gone).drop("__id", "__own", "__kept")
+
+
+def _full() -> Column:
+    numbers = F.transform(F.split("text", "\n"), lambda x, i: F.when(F.trim(x, F.lit("".join(BLANKS) + " ")) != "", i))
+    return F.coalesce(F.filter(numbers, lambda i: i.isNotNull()), F.array().cast("array<int>"))
 
 
 def line_decisions(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row of docs: doc_id, n_lines (lines with a word), n_removed, removed (numbers of the lines that go, from 0).
 
-    Lines without a word are never removed. A null text has no lines. Rows with a null doc_id take no part and lose none.
-    Rows of one doc_id are one document, so repeated rows get the same decision. An empty table gives no rows.
+    Lines without a word are never removed. Null and empty texts have no lines. Rows with a null doc_id take no part and lose
+    none. Rows of one doc_id and one text get the same decision; different texts of one doc_id are documents of their own, in
+    an order that their hashes give. Texts and lines of any length are taken whole. Of equal or like lines in one document the
+    later goes; columns besides doc_id and text are not looked at. An empty table gives no rows.
     """
-    kept = first_lines(docs, num, den).groupBy("doc_id").agg(F.collect_list("line_no").alias("kept")).withColumnRenamed("doc_id", "__id")
-    full = F.filter(F.transform(F.split(_plain(F.col("text")), "\n"), lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
-    none = F.array().cast("array<int>")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(full, none).alias("full"))
-    joined = rows.join(kept, F.col("doc_id") == F.col("__id"), "left")
-    gone = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_except("full", F.coalesce("kept", none)))
-    return joined.select("doc_id", F.size("full").alias("n_lines"), F.size(gone).alias("n_removed"), gone.alias("removed"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _tag().alias("__tag"), _full().alias("__full"))
+    out = _decided(rows, docs, num, den)
+    return out.select("doc_id", F.size("__full").alias("n_lines"), F.size("__gone").alias("n_removed"), F.col("__gone").alias("removed"))
 
 
 def drop_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs with the removed lines taken out of text, n_chars (if there is one) counted anew; other columns as they are."""
-    some = (
-        line_decisions(docs, num, den).where(F.col("n_removed") > 0)
-        .select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed")).dropDuplicates(["__id"])
-    )
-    some = common.cut(some)
-    common.tidy(docs.sparkSession)
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left)
-    out = docs.join(some.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").withColumn("__text", text)
+    """docs with the removed lines taken out of text, n_chars (if there is one) counted anew; other columns, whatever their
+    names, as they are. A document that loses no line keeps its text as it was."""
+    rows = _decided(docs.withColumns({"__tag": _tag(), "__full": _full()}), docs, num, den)
+    some = F.size("__gone") > 0
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    rows = rows.withColumn("__text", F.when(some, left).otherwise(F.col("text")))
     named = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        named["n_chars"] = F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("__text"))
-    return out.select(*[named[c].cast(docs.schema[c].dataType).alias(c) if c in named else F.col(f"`{c}`") for c in docs.columns])
+        named["n_chars"] = F.when(some, F.length("__text")).otherwise(F.col("n_chars"))
+    return rows.select(*[named[c].cast(docs.schema[c].dataType).alias(c) if c in named else F.col(f"`{c}`") for c in docs.columns])
