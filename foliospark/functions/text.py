@@ -4,6 +4,7 @@ line end. A pattern's labels must hold no capturing group of their own."""
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,17 +28,26 @@ def _accents() -> tuple[str, str]:
 _FROM, _TO = _accents()
 
 
+#: White space by Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of the value, which is computed once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def filled(c: Column) -> Column:
     """The column without white space at its ends; null if nothing is left."""
-    return F.nullif(strip(c), F.lit(""))
+    return blank_to_null(strip(c))
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return once(c, lambda x: F.when(x != "", x))
 
 
 def find(c: Column, pattern: str, group: int = 1) -> Column:
@@ -50,8 +60,8 @@ def found(c: Column, pattern: str) -> Column:
 
 
 def window_after(c: Column, label: str, width: int, flags: str = IU) -> Column:
-    """The width characters after the first label; null without a label."""
-    return F.when(c.rlike(flags + label), F.regexp_extract(c, f"{flags}(?:{label})([\\s\\S]{{0,{width}}})", 1))
+    """The width characters after the first label; empty without a label."""
+    return F.regexp_extract(c, f"{flags}(?:{label})([\\s\\S]{{0,{width}}})", 1)
 
 
 def near(c: Column, label: str, value: str, width: int = 80) -> Column:

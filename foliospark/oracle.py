@@ -194,8 +194,7 @@ ORACLES: dict[str, str] = {
     "q20_employee_by_id": f"""WITH {CLAIMS} SELECT claim_id, c_custkey AS emp_id, c_name AS emp_name, n_name AS emp_insurer
         FROM cl LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = person_key LEFT JOIN nation ON n_nationkey = c_nationkey""",
     "q21_employee_by_name": f"""WITH {CLAIMS}, h AS (SELECT claim_id, min(c_custkey) AS id FROM cl JOIN customer
-          ON contains(lower(replace(person_name, ' ', '')), lower(replace(c_name, ' ', ''))) OR contains(lower(replace(c_name, ' ', '')), lower(replace(person_name, ' ', '')))
-          WHERE k % 20 = 0 GROUP BY claim_id)
+          ON contains(lower(replace(person_name, ' ', '')), lower(replace(c_name, ' ', ''))) GROUP BY claim_id)
         SELECT claim_id, c_custkey AS emp_id, c_name AS emp_name, n_name AS emp_insurer FROM h JOIN customer ON c_custkey = id LEFT JOIN nation ON n_nationkey = c_nationkey""",
     "q22_employee_fallback": f"WITH {MAPPED} SELECT cl.claim_id, coalesce(a.c_custkey, b.c_custkey) AS emp_id, coalesce(a.c_name, b.c_name) AS emp_name FROM cl LEFT JOIN customer a ON CAST(a.c_custkey AS VARCHAR) = person_key LEFT JOIN customer b ON a.c_custkey IS NULL AND b.c_name = substr(person_name, 4)",
     "q23_diagnosis_code": f"WITH {CLAIMS} SELECT claim_id, p_partkey AS dx_id, p_type AS dx_text FROM cl LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = dx_code",
@@ -253,11 +252,11 @@ ORACLES: dict[str, str] = {
         y AS (SELECT * FROM x UNION ALL SELECT 'all', a, b FROM x),
         z AS (SELECT lang, sum(coalesce(CAST(a AS INTEGER), 0) + coalesce(CAST(b AS INTEGER), 0)) AS hits, sum(CAST(a IS NOT NULL AS INTEGER) + CAST(b IS NOT NULL AS INTEGER)) AS scored FROM y GROUP BY lang)
         SELECT lang, CAST(hits AS BIGINT) AS hits, CAST(scored AS BIGINT) AS scored, CASE WHEN scored > 0 THEN round(100.0 * hits / scored, 0) END AS percent FROM z""",
-    "q63_containment_large": f"""WITH {CLAIMS} SELECT claim_id, min(c_custkey) AS emp_id FROM cl JOIN customer ON contains(lower(replace(person_name, ' ', '')), lower(c_name)) WHERE k % 20 = 0 GROUP BY claim_id""",
+    "q63_containment_large": f"""WITH {CLAIMS} SELECT claim_id, min(c_custkey) AS emp_id FROM cl JOIN customer ON contains(lower(replace(person_name, ' ', '')), lower(c_name)) GROUP BY claim_id""",
     "q64_new_rows": f"WITH {CASES} SELECT case_id, n_files FROM c WHERE n_files % 2 = 1",
     "q65_json_rows": f"""WITH {CLAIMS} SELECT CAST(to_json({{'claim_id': claim_id, 'start': strftime(s, '%Y-%m-%d'), 'days': n, 'dx_code': dx_code, 'phrase': phrase}}) AS VARCHAR) AS value FROM cl""",
     "q66_without_catalogue": f"""WITH {CLAIMS} SELECT claim_id, false AS there, CAST(NULL AS INTEGER) AS emp_id, CAST(NULL AS INTEGER) AS dx_id,
-        CASE WHEN kind = 'incapacidad' THEN 1 END AS ins_id, coalesce(person_name, '?') AS name FROM cl WHERE k % 10 = 0""",
+        CASE WHEN kind = 'incapacidad' THEN 1 END AS ins_id, coalesce(person_name, '?') AS name FROM cl""",
     "q67_point_lookup": f"WITH {MAPPED} SELECT id, estado, idlptipoausentismo, cedula_leida FROM st WHERE id = 42",
     "q68_label_tables": """SELECT unnest([2, 3, 5, 7, 8, 9, 10, 11, 12, 13]) AS code, unnest(['ACCIDENTE DE TRABAJO', 'ENFERMEDAD GENERAL', 'LICENCIA MATERNIDAD', 'LICENCIA NO REMUNERADA',
           'ENFERMEDAD LABORAL', 'LICENCIA PATERNIDAD', 'PRELICENCIA', 'TRANSITO NO LABORAL', 'LICENCIA REMUNERADA', 'VACACIONES']) AS label, 'lptipoausentismo' AS kind
@@ -267,4 +266,33 @@ ORACLES: dict[str, str] = {
     "q69_page_sizes": """WITH x AS (SELECT p_partkey, CAST(p_partkey % 97 * 150 + 100 AS INTEGER) AS w, CAST(p_partkey % 89 * 140 + 50 AS INTEGER) AS h, p_partkey * 7001 % 70000000 AS size FROM part)
         SELECT p_partkey, true AS fits, CASE WHEN p_partkey % 5 = 0 THEN 415 WHEN size > 52428800 THEN 413 WHEN size = 0 THEN 400 END AS refused,
         CASE WHEN w::BIGINT * h <= 40000000 THEN w ELSE greatest(1, CAST(floor(w * sqrt(40000000 / (w::BIGINT * h))) AS INTEGER)) END AS width FROM x""",
+    "q70_certificates": """WITH o AS (SELECT *, o_orderkey % 6 AS v, o_orderkey % 11 = 0 AS bare, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 10 + 1 AS INTEGER) AS n,
+          chr(CAST(o_orderkey % 26 + 65 AS INTEGER)) || (o_orderkey % 90 + 10) || '.' || (o_orderkey % 10) AS c FROM orders)
+        SELECT o_orderkey, 'incapacidad' AS kind, 'CC' AS id_kind, CAST(o_orderkey + 70000000 AS VARCHAR) AS id_number,
+        ['LUZ', 'ANA', 'PEDRO', 'MARINA', 'OLMO'][o_orderkey % 5 + 1] || ' ' || ['PRADERA', 'SOLAR', 'FARO', 'ONDA'][o_orderkey % 4 + 1] AS name,
+        CASE WHEN v IN (0, 2, 4) THEN 'SOLNORTE' WHEN v = 1 THEN 'SALUD DEL LAGO' WHEN v = 5 THEN 'SALUD MAR' END AS insurer,
+        CASE v WHEN 0 THEN 'CLINICA DEL FARO ' || (o_orderkey % 7) WHEN 5 THEN 'Afiliado: CLINICA DEL LAGO' END AS provider,
+        CASE WHEN v < 2 THEN d - 1 END AS issued, d AS first, CAST(d + (n - 1) AS DATE) AS last, n AS days,
+        CASE v WHEN 0 THEN 'Ambulatoria' WHEN 5 THEN 'Hospitalaria' END AS type,
+        CASE v WHEN 0 THEN 'Enfermedad general' WHEN 1 THEN 'Común' WHEN 2 THEN 'ACCIDENTE DE TRANSITO' WHEN 5 THEN 'Laboral' END AS origin,
+        CASE WHEN v = 5 THEN 'PARTO NO VIABLE' END AS licence, v IN (2, 3, 4) AS anchored, CASE WHEN v = 2 OR NOT bare THEN c END AS code,
+        CASE WHEN v = 2 THEN 'FRACTURA DE PRUEBA' WHEN bare THEN NULL WHEN v IN (0, 4) THEN 'Hernia de prueba' WHEN v = 1 THEN 'HERNIA' WHEN v = 3 THEN 'Lumbago' ELSE 'ROTURA' END AS diagnosis,
+        CASE WHEN v < 2 THEN 'PEDRA MARINA SOLAR' END AS doctor, CASE WHEN v < 2 THEN CAST(o_orderkey + 55000 AS VARCHAR) END AS register FROM o""",
+    "q71_holiday_letters": """WITH o AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS two, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 10 + 1 AS INTEGER) AS n FROM orders)
+        SELECT o_orderkey, 'vacaciones' AS kind, CAST(o_orderkey + 70000000 AS VARCHAR) AS id_number,
+        ['LUZ', 'ANA', 'PEDRO', 'MARINA', 'OLMO'][o_orderkey % 5 + 1] || ' ' || ['PRADERA', 'SOLAR', 'FARO', 'ONDA'][o_orderkey % 4 + 1] AS name,
+        d AS first, CAST(d + (n - 1) + CASE WHEN two THEN 5 ELSE 0 END AS DATE) AS last, n + CASE WHEN two THEN 5 ELSE 0 END AS days FROM o""",
+    "q72_permits": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS v, o_orderkey % 3 + 1 AS w, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 10 + 1 AS INTEGER) AS n FROM orders)
+        SELECT k AS o_orderkey, 'permiso' AS kind, CAST(k + 80000000 AS VARCHAR) AS id_number, ['Marta Luna Clara', 'Jorge Faro', 'Olga Prado Rey Mar'][w] AS name, d AS first,
+        CASE WHEN v = 2 THEN d ELSE CAST(d + (n - 1) AS DATE) END AS last, CASE WHEN v = 2 THEN 1 ELSE n END AS days,
+        ['LICENCIA REMUNERADA', 'LICENCIA NO REMUNERADA', NULL][w] AS type, CASE WHEN v = 3 THEN 'Fecha' ELSE ['Lacteos de Norte', 'Faro', 'Casa del Mar y Sol'][w] END AS company,
+        'Analista' AS post, d - 2 AS asked, ['REMUNERADO', 'NO_REMUNERADO', NULL][w] AS paid, 'Cita en notaria ' || (k % 9) AS detail,
+        CASE WHEN k % 2 = 0 THEN '8:00 a.m.' END AS hour_from, CASE WHEN k % 2 = 0 THEN '10:30' END AS hour_to, CAST(k % 5 + 1 AS VARCHAR) AS hours,
+        'Jorge Faro Alto' AS approver, 'Gerente' AS approver_post FROM o""",
+    "q73_names_contained": """WITH x AS (SELECT c_custkey, c_name, lower(c_name) AS key, split_part(c_name, '#', 2) AS digits FROM customer),
+        r AS (SELECT c_custkey * 5 + way AS read_id,
+          CASE way WHEN 0 THEN 'sra.' || key || 's.' WHEN 1 THEN 'r#' || digits WHEN 2 THEN right(digits, 5) WHEN 3 THEN left(key, 14) ELSE key END AS t
+          FROM x, (SELECT unnest(range(5)) AS way)),
+        h AS (SELECT read_id, min(c_custkey) AS emp_id FROM (SELECT DISTINCT t FROM r WHERE length(t) >= 8) JOIN x ON contains(t, key) OR contains(key, t) JOIN r USING (t) GROUP BY read_id)
+        SELECT read_id, emp_id, c_name AS emp_name FROM h JOIN customer ON c_custkey = emp_id""",
 }

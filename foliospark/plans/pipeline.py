@@ -84,13 +84,18 @@ def reconcile_record(df: DataFrame, name: str = "record") -> DataFrame:
     return df.withColumn(name, schema.record(values)).drop("__start", "__end", "__days", "__held", "__calc")
 
 
-def extract(df: DataFrame, extractor: Extractor | None = None) -> DataFrame:
-    """df (text and others) with record and note. Texts under LEAST_TEXT characters get an empty record and a note and never
-    reach the extractor."""
-    enough = F.length(strip(F.coalesce(F.col("text"), F.lit("")))) >= LEAST_TEXT
-    done = reconcile_record((extractor or rule_extractor())(df.where(enough))).withColumn("note", F.lit(None).cast("string"))
-    rest = df.where(~enough).withColumns({"record": schema.empty_record(), "note": F.lit(NO_TEXT)})
-    return done.unionByName(rest.select(*done.columns))
+def extract(df: DataFrame, extractor: Extractor | None = None, least: int = LEAST_TEXT) -> DataFrame:
+    """df (text and others) with record and note, in one pass. Texts under `least` characters get an empty record and a note;
+    the extractor sees none of them, but a null text in their place."""
+    enough = F.length(strip(F.coalesce(F.col("text"), F.lit("")))) >= least
+    shown = df.withColumn("__enough", enough).withColumn("__text", F.col("text")).withColumn("text", F.when(F.col("__enough"), F.col("text")))
+    done = reconcile_record((extractor or rule_extractor())(shown)).withColumn("text", F.col("__text"))
+    return done.withColumns(
+        {
+            "record": F.when(F.col("__enough"), F.col("record")).otherwise(schema.empty_record()),
+            "note": F.when(~F.col("__enough"), F.lit(NO_TEXT)),
+        }
+    ).drop("__enough", "__text")
 
 
 def process_cases(
@@ -105,9 +110,7 @@ def process_cases(
         rows = case_ops.first_cases(rows, limit)
     own = texts.select(F.col("path").alias("__path"), "text", "error")
     rows = rows.join(own, F.col("base") == F.col("__path"), "left").drop("__path")
-    with_base = extract(rows.where(F.col("base").isNotNull()), extractor)
-    without = rows.where(F.col("base").isNull()).withColumns({"record": schema.empty_record(), "note": F.lit(None).cast("string")})
-    done = with_base.unionByName(without.select(*with_base.columns))
+    done = extract(rows, extractor).withColumn("note", F.when(F.col("base").isNotNull(), F.col("note")))  # no base document, no text
     read = F.nullif(F.col("record.paciente.documento_numero"), F.lit(""))
     done = done.withColumns(
         {

@@ -12,7 +12,8 @@ from .functions import codes, dates, names, replies, text
 from .operators import cases, mapper, merge, output, reconcile, report, resolve, review
 from .oracle import ORACLES
 from .plans import pipeline
-from .sources import catalog, inbox, pages, views
+from .sources import catalog, inbox, letters, pages, views
+from .sources.session import settled
 from .sources.views import table
 
 TODAY = date(2031, 1, 1)
@@ -113,8 +114,8 @@ def q11_page_cap(spark, d):
 
 @query
 def q12_min_text_guard(spark, d):
-    n = F.length(text.strip(F.col("text")))
-    return table(spark, d, "documents").select("doc_id", (n >= 200).alias("enough"), F.when(n < 200, F.lit(pipeline.NO_TEXT)).alias("note"))
+    own = pipeline.extract(table(spark, d, "documents").select("doc_id", "text"), lambda df: df.withColumn("record", schema.empty_record()), least=200)
+    return own.select("doc_id", F.col("note").isNull().alias("enough"), "note")
 
 
 @query
@@ -468,3 +469,55 @@ def q69_page_sizes(spark, d):
     size = pages.capped_size(F.col("w"), F.col("h"))
     reason = inbox.upload_reason(k % 5 != 0, F.col("size"), pages.MAX_UPLOAD)
     return own.select("p_partkey", (size["width"].cast("bigint") * size["height"] <= pages.MAX_PIXELS).alias("fits"), reason.alias("refused"), size["width"].alias("width"))
+
+
+@query
+def q70_certificates(spark, d):
+    """Certificates of six layouts, each field as printed."""
+    r = pipeline.rule_extractor()(settled(letters.certificates(spark, d)))
+    i = "record.incapacidad."
+    return r.select(
+        "o_orderkey", F.col("record.tipo_documento").alias("kind"), F.col("record.paciente.documento_tipo").alias("id_kind"),
+        F.col("record.paciente.documento_numero").alias("id_number"), F.col("record.paciente.nombre").alias("name"), F.col("record.entidad.eps").alias("insurer"),
+        F.col("record.entidad.ips_prestador").alias("provider"), F.col(i + "fecha_expedicion").alias("issued"), F.col(i + "fecha_inicio").alias("first"),
+        F.col(i + "fecha_fin").alias("last"), F.col(i + "dias").alias("days"), F.col(i + "tipo").alias("type"), F.col(i + "origen").alias("origin"),
+        F.col(i + "tipo_licencia").alias("licence"), F.col(i + "inicio_anclada").alias("anchored"), F.col("record.diagnostico.cie10").alias("code"),
+        F.col("record.diagnostico.descripcion").alias("diagnosis"), F.col("record.medico.nombre").alias("doctor"), F.col("record.medico.registro").alias("register"),
+    )
+
+
+@query
+def q71_holiday_letters(spark, d):
+    r = pipeline.extract(settled(letters.holidays(spark, d)))
+    i = "record.incapacidad."
+    return r.select(
+        "o_orderkey", F.col("record.tipo_documento").alias("kind"), F.col("record.paciente.documento_numero").alias("id_number"), F.col("record.paciente.nombre").alias("name"),
+        F.col(i + "fecha_inicio").alias("first"), F.col(i + "fecha_fin").alias("last"), F.col(i + "dias").alias("days"),
+    )
+
+
+@query
+def q72_permits(spark, d):
+    r = pipeline.extract(settled(letters.permits(spark, d)))
+    i, p = "record.incapacidad.", "record.permiso."
+    return r.select(
+        "o_orderkey", F.col("record.tipo_documento").alias("kind"), F.col("record.paciente.documento_numero").alias("id_number"), F.col("record.paciente.nombre").alias("name"),
+        F.col(i + "fecha_inicio").alias("first"), F.col(i + "fecha_fin").alias("last"), F.col(i + "dias").alias("days"), F.col(i + "tipo").alias("type"),
+        F.col(p + "empresa").alias("company"), F.col(p + "cargo").alias("post"), F.col(p + "fecha_solicitud").alias("asked"), F.col(p + "tipo_remunerado").alias("paid"),
+        F.col(p + "detalle").alias("detail"), F.col(p + "horas_desde").alias("hour_from"), F.col(p + "horas_hasta").alias("hour_to"), F.col(p + "horas_total").alias("hours"),
+        F.col(p + "autorizado_por").alias("approver"), F.col(p + "autorizado_cargo").alias("approver_post"),
+    )
+
+
+@query
+def q73_names_contained(spark, d):
+    """Employees by name, in both directions of containment: names read with more or less than the catalogue's, short ones,
+    and ones that several employees hold."""
+    own = table(spark, d, "customer").select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("way"), "c_custkey", "c_name")
+    digits = F.substring_index("c_name", "#", -1)
+    read = (
+        F.when(F.col("way") == 0, F.concat(F.lit("Sra. "), F.col("c_name"), F.lit(" S."))).when(F.col("way") == 1, F.concat(F.lit("R#"), digits))
+        .when(F.col("way") == 2, F.right(digits, F.lit(5))).when(F.col("way") == 3, F.left("c_name", F.lit(14))).otherwise(F.upper("c_name"))
+    )
+    own = own.select((F.col("c_custkey") * 5 + F.col("way")).alias("read_id"), read.alias("read"))
+    return resolve.employee_by_name(own, views.dims(spark, d)["employees"], "read_id", F.col("read")).select("read_id", "emp_id", "emp_name")
