@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to Python: long texts must not pile up in a worker.
@@ -108,24 +108,18 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def sample_ids(rows: DataFrame, label: str, doc_id: str, per_class: int) -> dict:
-    """At most per_class ids of each label value, the least by a hash of the id: {label: [ids]}.
+def sample_ids(rows: DataFrame, label: str, doc_id: str, per_class: int, values: list) -> dict:
+    """At most per_class ids of each of a few label values, the least by a hash of the id: {label: [ids]}.
 
-    Only ids and labels move; the number of label values must be small, and per_class bounds the rest.
+    Only ids and labels move. Each value's ids come from a top-k query: every task keeps its least per_class and no more
+    come together, so a label that most rows have is gathered nowhere.
     """
-    order = Window.partitionBy("__label").orderBy("__h", "__id")
-    picked = (
-        rows.select(F.col(label).alias("__label"), F.col(doc_id).alias("__id"))
-        .where(F.col("__label").isNotNull() & F.col("__id").isNotNull())
-        .withColumn("__h", F.xxhash64("__id"))
-        .distinct()
-        .withColumn("__n", F.row_number().over(order))
-        .where(F.col("__n") <= per_class)
-        .collect()
-    )
-    out: dict = {}
-    for r in sorted(picked, key=lambda r: (str(r["__label"]), r["__n"])):
-        out.setdefault(r["__label"], []).append(r["__id"])
+    ids = rows.select(F.col(label).alias("__label"), F.col(doc_id).alias("__id")).where(F.col("__id").isNotNull()).distinct()
+    out = {}
+    for value in values:
+        found = ids.where(F.col("__label") == F.lit(value)).select("__id").orderBy(F.xxhash64("__id"), "__id").limit(per_class).collect()
+        if found:
+            out[value] = [r["__id"] for r in found]
     return out
 
 

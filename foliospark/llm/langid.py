@@ -167,7 +167,7 @@ def train(docs: DataFrame, label: str = "lang", per_language: int = PER_LANGUAGE
     few = rows.where(F.col(label).isNotNull()).select(label).distinct().limit(MAX_LANGUAGES + 1).collect()
     if len(few) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    ids = common.sample_ids(rows, label, "doc_id", per_language)
+    ids = common.sample_ids(rows, label, "doc_id", per_language, sorted(r[0] for r in few))
     texts = common.texts_by_id(rows, list(ids.values()), max_bytes)
     return PPM({str(k): list(own.values()) for k, own in zip(ids, texts)}, order)
 

@@ -261,7 +261,7 @@ def train(contexts: list[str], findings: int = FINDINGS) -> CharCNN:
 
 def contexts_of(docs: DataFrame, n: int = CONTEXTS) -> list[str]:
     """Texts of a bounded sample, the least by a hash of the id."""
-    ids = common.sample_ids(docs.select(F.lit(1).alias("one"), "doc_id"), "one", "doc_id", n).get(1, [])
+    ids = common.sample_ids(docs.select(F.lit(1).alias("one"), "doc_id"), "one", "doc_id", n, [1]).get(1, [])
     return list(common.texts_by_id(docs, [ids], 4 << 20)[0].values())
 
 

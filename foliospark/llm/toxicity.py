@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_by
         labels.where(F.col("toxic").isin(0, 1) & ~common.held_out())
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     )
-    ids = common.sample_ids(marks, "toxic", "doc_id", per_class)
+    ids = common.sample_ids(marks, "toxic", "doc_id", per_class, [0, 1])
     texts = common.texts_by_id(docs, [ids.get(1, []), ids.get(0, [])], max_bytes)
     return fit(*([t for t in own.values() if t] for own in texts))
 
