@@ -17,7 +17,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -241,26 +241,40 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 lowercase hex digits), component_id (the least doc_id that links lead to).
 
     Null and empty texts have fingerprint zero and are linked like others. Rows with a null doc_id get a fingerprint and
-    their component's least doc_id (null if it has none); repeated rows give repeated results; an empty table gives none.
+    their component's least doc_id (null if it has none); repeated rows give repeated results, and so do different texts of
+    one doc_id, each by its own fingerprint. Texts of any length are taken whole; columns besides doc_id and text are not
+    looked at; an empty table gives no rows.
     """
     spark = docs.sparkSession
     own = common.cut(fingerprints(docs))
-    distinct = common.cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    # a fingerprint is known by its least doc_id, so the least of a component is its name and nothing need be gathered by it
+    least = F.min("doc_id")
+    name = F.struct(least.isNull().alias("none"), F.coalesce(least, F.col("fp")).alias("id"))
+    distinct = common.cut(own.groupBy("fp").agg(name.alias("name")))
     n = distinct.count()
     sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
     plan = Plan.learn(np.array([r["fp"] for r in sample], np.int64).view(np.uint64), n, radius) if n else Plan([], [])
-    roots = components(links(distinct, plan, radius), "a", "b")
-    members = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = members.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    classes = members.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    joined = own.join(classes, F.col("fp") == F.col("f"))
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = links(distinct, plan, radius)
+    for side in ("a", "b"):
+        names = distinct.select(F.col("fp").alias("__fp"), F.col("name").alias(f"__{side}"))
+        found = found.join(names, F.col(side) == F.col("__fp")).drop("__fp")
+    roots = components(found, "__a", "__b")
+    classes = distinct.join(roots, F.col("name") == F.col("node"), "left").select(F.col("fp").alias("__f"), F.coalesce("root", "name").alias("__r"))
+    joined = own.join(classes, F.col("fp") == F.col("__f"))
+    component = F.when(~F.col("__r.none"), F.col("__r.id")).alias("component_id")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay when of each component only the document of least doc_id is kept, with their columns.
-    Rows without a doc_id stay; of repeated rows of one doc_id one stays."""
+
+    Rows without a doc_id stay. Of several rows of that doc_id one stays: the first by text (null first), then by a hash of
+    its other columns.
+    """
     classes = near_duplicates(docs.where(F.col("doc_id").isNotNull()))
     keep = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    stays = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    stays = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    first = Window.partitionBy("doc_id").orderBy("text", rest)
+    stays = stays.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).drop("__n")
     return stays.unionByName(docs.where(F.col("doc_id").isNull()))
