@@ -11,6 +11,7 @@ File format: a Parquet folder, one row per block of at most BLOCK_DOCS documents
     keys binary                the doc_id of each document with one, 64-bit integers, ascending
     displace, prints binary    minimal perfect hash of the distinct keys: displacements and stored fingerprints
     begin, count binary        by slot: offset of the key's first id in payload (64-bit), its documents (32-bit)
+    place binary               by slot: number of the key's first document in the block (32-bit)
     ends binary                by document: offset after its last id in payload (64-bit)
 
 A key is found in its block in constant time: hash, displacement, slot, fingerprint, offset.
@@ -38,9 +39,11 @@ from .mph import MinimalPerfectHash
 BLOCK_DOCS, BLOCK_IDS = 2048, 4 << 20
 #: Shards at most; a bound for what the driver holds of the ids' order.
 MAX_SHARDS = 4096
+#: Bounds of shards that a document is held against at once.
+FANOUT = 64
 SCHEMA = (
     "shard int, block int, shard_start bigint, n_docs int, n_null int, n_tokens bigint, first_id bigint, last_id bigint, "
-    "payload binary, keys binary, displace binary, prints binary, begin binary, count binary, ends binary"
+    "payload binary, keys binary, displace binary, prints binary, begin binary, count binary, place binary, ends binary"
 )
 
 
@@ -140,16 +143,17 @@ def _pack(shard: int, block: int, start: int, ids: np.ndarray, sizes: np.ndarray
     distinct, first, count = np.unique(keys, return_index=True, return_counts=True)
     perfect = MinimalPerfectHash.build(distinct.view(np.uint64))
     at = perfect.slots(distinct.view(np.uint64))
-    begin, counts = np.zeros(len(distinct), "<i8"), np.zeros(len(distinct), "<i4")
+    begin, counts, place = np.zeros(len(distinct), "<i8"), np.zeros(len(distinct), "<i4"), np.zeros(len(distinct), "<i4")
     if len(distinct):
         begin[at] = (ends - sizes)[nulls:][first]
         counts[at] = count
+        place[at] = nulls + first
     return {
         "shard": shard, "block": block, "shard_start": start, "n_docs": len(doc_ids), "n_null": nulls, "n_tokens": int(ids.size),
         "first_id": int(keys[0]) if len(keys) else None, "last_id": int(keys[-1]) if len(keys) else None,
         "payload": ids.astype("<u4").tobytes(), "keys": keys.astype("<i8").tobytes(),
         "displace": perfect.displace.astype("<i4").tobytes(), "prints": perfect.fingerprints.astype("<u4").tobytes(),
-        "begin": begin.tobytes(), "count": counts.tobytes(), "ends": ends.astype("<i8").tobytes(),
+        "begin": begin.tobytes(), "count": counts.tobytes(), "place": place.tobytes(), "ends": ends.astype("<i8").tobytes(),
     }
 
 
@@ -207,7 +211,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
 
     (
         docs.withColumn("__shard", shard_of)
-        .repartition(parts, "__shard")
+        .repartitionById(parts, "__shard")
         .sortWithinPartitions("__shard", "doc_id", "text")
         .select("doc_id", "text")
         .mapInArrow(run, SCHEMA)
@@ -219,17 +223,16 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
 
 
 def _shard_column(bounds: list[int]):
-    """How many bounds lie under doc_id, by halving: a chain of about log2 conditions instead of a scan of the list."""
-
-    def pick(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") > F.lit(bounds[mid]), pick(mid + 1, high)).otherwise(pick(low, mid))
-
-    return F.coalesce(F.when(F.col("doc_id").isNull(), F.lit(0)), pick(0, len(bounds))) if len(bounds) <= 64 else F.expr(
-        f"if(doc_id is null, 0, size(filter(array({','.join(f'{b}L' for b in bounds)}), b -> b < doc_id)))"
-    )
+    """How many bounds lie under doc_id, in two steps: of every FANOUT-th bound, then of those between two of them."""
+    if not bounds:
+        return F.lit(0)
+    array = lambda own: f"array({','.join(f'{b}L' for b in own)})"
+    groups = [bounds[k : k + FANOUT] for k in range(0, len(bounds), FANOUT)]
+    heads = array(g[-1] for g in groups)
+    group = f"size(filter({heads}, b -> b < doc_id))"
+    inside = f"size(filter(element_at(array({','.join(map(array, groups))}), {group} + 1), b -> b < doc_id))"
+    count = f"if({bounds[-1]}L < doc_id, {len(bounds)}, {FANOUT} * {group} + {inside})"
+    return F.expr(f"if(doc_id is null, 0, {count})")
 
 
 def _runs(of: np.ndarray, most: int):
@@ -250,25 +253,27 @@ class Block:
         self.keys = np.frombuffer(row["keys"], "<i8")
         self.n_docs, self.n_null, self.start = row["n_docs"], row["n_null"], row["shard_start"]
         self.begin, self.count = np.frombuffer(row["begin"], "<i8"), np.frombuffer(row["count"], "<i4")
+        self.place = np.frombuffer(row["place"], "<i4")
         self.ends = np.frombuffer(row["ends"], "<i8")
         self.perfect = MinimalPerfectHash(len(self.begin), np.frombuffer(row["displace"], "<i4"), np.frombuffer(row["prints"], "<u4"))
 
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return self.perfect.find(np.asarray(keys, np.int64).view(np.uint64))
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each key the offset of its first id in the payload and its number of documents (-1 and 0 if unknown)."""
-        slot = self.perfect.find(np.asarray(keys, np.int64).view(np.uint64))
+        slot = self.slots(keys)
         if not len(self.begin):
             return slot, np.zeros(len(slot), np.int64)
         return np.where(slot < 0, -1, self.begin[slot]), np.where(slot < 0, 0, self.count[slot])
 
     def documents(self, key: int) -> list[np.ndarray]:
-        """The ids of each document with this doc_id, without a scan of the block."""
-        (begin,), (count,) = self.find(np.array([key]))
-        if begin < 0:
+        """The ids of each document with this doc_id, by offsets in the key's slot: constant time, whatever the block's size."""
+        slot = int(self.slots(np.array([key]))[0])
+        if slot < 0:
             return []
-        first = int(np.searchsorted(self.ends, begin, "right"))
-        while first < self.n_docs and (self.ends[first - 1] if first else 0) < begin:
-            first += 1
-        edges = [int(begin), *self.ends[first : first + count].tolist()]
+        first = int(self.place[slot])
+        edges = [int(self.begin[slot]), *self.ends[first : first + int(self.count[slot])].tolist()]
         return [np.frombuffer(self.payload, "<u4", b - a, 4 * a) for a, b in zip(edges[:-1], edges[1:])]
 
 
@@ -308,7 +313,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    columns = ["payload", "keys", "n_docs", "n_null", "shard_start", "begin", "count", "ends", "displace", "prints", "base"]
+    columns = ["payload", "keys", "n_docs", "n_null", "shard_start", "begin", "count", "place", "ends", "displace", "prints", "base"]
     return (
         blocks.join(F.broadcast(base), F.col("shard") == F.col("__s"))
         .select(*columns)
