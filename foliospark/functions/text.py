@@ -108,14 +108,20 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def _extension(path: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """use(file name, length of its last extension with the dot; 0 without one)."""
+    after = lambda n: F.length(F.substring_index(n, ".", -1))
+    return once(base_name(path), lambda n: once(F.length(n) - after(n), lambda k: use(n, F.when((k >= 2) & (k < F.length(n)), F.length(n) - k + 1).otherwise(F.lit(0)))))
+
+
 def suffix(path: Column) -> Column:
     """The last extension in lower case with its dot; empty without one."""
-    return F.lower(F.regexp_extract(base_name(path), r"(?s)^.+(\.[^.]+)$", 1))
+    return F.lower(_extension(path, lambda n, k: F.right(n, k)))
 
 
 def stem(path: Column) -> Column:
     """The file name without its last extension."""
-    return F.regexp_replace(base_name(path), r"(?s)(?<=.)\.[^.]+$", "")
+    return _extension(path, lambda n, k: F.left(n, F.length(n) - k))
 
 
 def join_present(sep: str, *parts: Column, limit: int | None = None) -> Column:

@@ -75,11 +75,16 @@ def check_default_documents(df: DataFrame, type_id: Column, present: Column) ->
 
 
 def missing_by_anti_join(required: DataFrame, present: DataFrame, case_id: str = "case_id", document: str = "document") -> DataFrame:
-    """The rows of required (case, document) whose group has no row in present (case, document)."""
+    """The rows of required (case, document) whose group has no row in present (case, document); nulls match nothing.
+
+    Keys are made free of nulls, a side's own text in their place: for keys that may be null Spark adds a filter that repeats
+    all that made them at the scan.
+    """
+    group = lambda c: document_group(canonical_document(c))
     own = present.select(F.col(case_id).alias("__c"), F.col(document).alias("__d")).distinct()
-    own = own.withColumn("__d", canonical_document(F.col("__d"))).select("__c", document_group(F.col("__d")).alias("__g"))
-    asked = required.withColumn("__x", canonical_document(F.col(document))).withColumn("__x", document_group(F.col("__x")))
-    return asked.join(own, (F.col(case_id) == F.col("__c")) & (F.col("__x") == F.col("__g")), "left_anti").drop("__x")
+    own = own.select(F.coalesce("__c", F.lit("?present")).alias("__c"), F.coalesce(group(F.col("__d")), F.lit("?present")).alias("__g"))
+    asked = required.withColumns({"__k": F.coalesce(case_id, F.lit("?required")), "__x": F.coalesce(group(F.col(document)), F.lit("?required"))})
+    return asked.join(own, (F.col("__k") == F.col("__c")) & (F.col("__x") == F.col("__g")), "left_anti").drop("__k", "__x")
 
 
 def run_summary(done: DataFrame, misnamed: DataFrame, complete: Column, failed: Column) -> DataFrame:
@@ -117,11 +122,13 @@ def first_pages(pages: DataFrame, most: int, doc: str = "doc_id", page: str = "p
     return ranked.withColumn("truncated", total > most).where(F.col("__n") <= most).drop("__n")
 
 
-def page_text(pages: DataFrame, relevant: Column, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
-    """Per document the text of its relevant pages in order, of all pages if none is, joined by line feeds and stripped."""
+def page_text(
+    pages: DataFrame, relevant: Column, doc: str = "doc_id", page: str = "page_no", text: str = "text", error: str | None = None
+) -> DataFrame:
+    """Per document the text of its relevant pages in order, of all pages if none is, joined by line feeds and stripped; with
+    an error column also its greatest value."""
     own = F.struct(F.col(page).alias("n"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(relevant, F.lit(False)).alias("r"))
-    rows = pages.groupBy(doc).agg(F.sort_array(F.collect_list(own)).alias("p"))
+    more = [F.max(error).alias(error)] if error else []
+    rows = pages.groupBy(doc).agg(F.sort_array(F.collect_list(own)).alias("p"), *more)
     chosen = F.filter("p", lambda x: x["r"] | ~F.exists("p", lambda y: y["r"]))
-    return rows.select(doc, strip(F.array_join(F.transform(chosen, lambda x: x["t"]), "\n")).alias("text"))
-
-
+    return rows.select(doc, strip(F.array_join(F.transform(chosen, lambda x: x["t"]), "\n")).alias("text"), *([error] if error else []))

@@ -92,17 +92,18 @@ def employee_by_name(df: DataFrame, employees: DataFrame, key: str, name: Column
 
 
 def employee(df: DataFrame, employees: DataFrame, key: str, number: Column, name: Column) -> DataFrame:
-    """The employee by id number, or else by name; only rows left without one are looked up by name."""
-    first = settled(employee_by_number(df, employees, number))
-    rest = first.where(F.col("emp_id").isNull() & filled(name).isNotNull())
-    second = employee_by_name(rest, employees, key, name).select(
+    """The employee by id number, or else by name; only rows left without one are looked up by name, and only their key and
+    name go that way."""
+    first = employee_by_number(df, employees, number)
+    rest = employee_by_number(df.select(key, number.alias("__asked"), name.alias("__name")), employees, F.col("__asked"))
+    rest = rest.where(F.col("emp_id").isNull() & filled(F.col("__name")).isNotNull()).select(key, "__name")
+    second = employee_by_name(rest, employees, key, F.col("__name")).select(
         F.col(key).alias("__k"), F.col("emp_id").alias("__i"), F.col("emp_name").alias("__n"), F.col("emp_insurer").alias("__e")
     )
     joined = first.join(second, F.col(key) == F.col("__k"), "left")
     by_number = F.col("emp_id").isNotNull()
     pick = lambda a, b: F.when(by_number, F.col(a)).otherwise(F.col(b)).alias(a)
-    rest_columns = [c for c in df.columns]
-    return joined.select(*rest_columns, pick("emp_id", "__i"), pick("emp_name", "__n"), pick("emp_insurer", "__e"))
+    return joined.select(*df.columns, pick("emp_id", "__i"), pick("emp_name", "__n"), pick("emp_insurer", "__e"))
 
 
 def diagnosis(df: DataFrame, diagnoses: DataFrame, code: Column) -> DataFrame:

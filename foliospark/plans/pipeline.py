@@ -108,9 +108,10 @@ def process_cases(
     rows = case_ops.cases(good)
     if limit is not None:
         rows = case_ops.first_cases(rows, limit)
-    own = texts.select(F.col("path").alias("__path"), "text", "error")
+    own = texts.withColumnRenamed("path", "__path")  # path, text, error, and what the extractor asks for
     rows = rows.join(own, F.col("base") == F.col("__path"), "left").drop("__path")
-    done = extract(rows, extractor).withColumn("note", F.when(F.col("base").isNotNull(), F.col("note")))  # no base document, no text
+    # settled, since the mapping looks rows up on two ways and neither engine nor rules should run for each
+    done = settled(extract(rows, extractor).withColumn("note", F.when(F.col("base").isNotNull(), F.col("note"))))
     read = F.nullif(F.col("record.paciente.documento_numero"), F.lit(""))
     done = done.withColumns(
         {

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema
@@ -74,12 +76,21 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+#: What Spark and its drivers call a source that isn't there: tables, databases, connections.
+ABSENT = ("TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND", "PATH_NOT_FOUND", "UnknownHostException", "ConnectException", "CommunicationsException", "SQLTransientConnection", "No suitable driver")
+
+
 def dims_or_empty(spark: SparkSession, load: Callable[[], dict[str, DataFrame]]) -> tuple[dict[str, DataFrame], bool]:
-    """(reference tables, whether they could be read): empty ones where the source isn't there."""
+    """(reference tables, whether they could be read): empty ones where the source can't be reached or has no such tables.
+    Any other error is one, and is raised."""
     try:
         dims = load()
         for df in dims.values():
             df.limit(1).count()
-    except Exception:  # noqa: BLE001  whatever keeps the catalogue away, review goes on without it
+    except (ConnectionError, TimeoutError):
+        return empty_dims(spark), False
+    except (PySparkException, Py4JJavaError) as problem:
+        if not any(word in str(problem) for word in ABSENT):
+            raise
         return empty_dims(spark), False
     return dims, True

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.review import new_rows
 from ..sources.inbox import FILES, listed
@@ -19,8 +18,9 @@ def stream_files(spark: SparkSession, root: str, per_batch: int = 10_000) -> Dat
 
 
 def append_new(rows: DataFrame, table: str) -> None:
-    """Appends the rows whose id the Parquet table hasn't yet: a batch that runs again after a failure adds nothing."""
-    spark = rows.sparkSession
+    """Appends the rows whose id the Parquet table hasn't yet, one of each id: a batch that runs again after a failure adds
+    nothing."""
+    spark, rows = rows.sparkSession, rows.dropDuplicates(["id"])
     try:
         rows = new_rows(rows, spark.read.parquet(table))
     except Exception as problem:  # noqa: BLE001  only a missing table may pass
@@ -39,7 +39,7 @@ def drain(spark: SparkSession, root: str, checkpoint: str, handle: Callable[[Dat
     def each(batch: DataFrame, number: int) -> None:
         nonlocal count
         count += 1
-        handle(batch.orderBy(F.col("path")), number)
+        handle(batch, number)
 
     query = stream_files(spark, root, per_batch).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
