@@ -295,4 +295,9 @@ ORACLES: dict[str, str] = {
           FROM x, (SELECT unnest(range(5)) AS way)),
         h AS (SELECT read_id, min(c_custkey) AS emp_id FROM (SELECT DISTINCT t FROM r WHERE length(t) >= 8) JOIN x ON contains(t, key) OR contains(key, t) JOIN r USING (t) GROUP BY read_id)
         SELECT read_id, emp_id, c_name AS emp_name FROM h JOIN customer ON c_custkey = emp_id""",
+    "q61_wordbreak": """SELECT p_partkey, CASE WHEN length(replace(p_name, ' ', '')) >= 9 THEN upper(p_name) ELSE upper(replace(p_name, ' ', '')) END AS parts, p_name AS short FROM part""",
+    "q62_stub_ocr_pipeline": f"""WITH x AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS t
+          FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 30 GROUP BY conv_id)
+        SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(length({STRIP.format('t')}) AS INTEGER) AS n_chars, 'incapacidad' AS tipo_documento, CAST(NULL AS VARCHAR) AS documento_numero,
+        CASE WHEN length({STRIP.format('t')}) < 10 THEN 'texto insuficiente' END AS note, CAST(NULL AS VARCHAR) AS error FROM x""",
 }
