@@ -163,15 +163,44 @@ def test_neighbours_recall_and_scores(spark):
         assert s == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)))
 
 
-def test_every_code_within_the_radius_is_found():
+def test_every_code_within_the_pigeonhole_radius_is_found():
     rng = np.random.default_rng(6)
-    codes = rng.integers(0, 1 << 16, (500, 16)).astype("<u2")
-    index = ann.MultiIndex(codes)
-    for radius in (0, 40, 100, 130):
-        for q in codes[:5]:
-            far = np.bitwise_count(codes ^ q).sum(axis=1)
-            assert index.within(q, radius).tolist() == np.flatnonzero(far <= radius).tolist()
-    assert len(index.search(codes[0], 1, 500)) == 500
+    codes = rng.integers(0, 1 << ann.SUBSTRING, (3000, 10)).astype(np.int32)
+    base = codes[0].copy()
+    for k in range(1, 2000):  # rows at all distances from the first
+        codes[k] = base
+        for bit in rng.choice(10 * ann.SUBSTRING, k % 90, replace=False):
+            codes[k, bit // ann.SUBSTRING] ^= 1 << (bit % ann.SUBSTRING)
+    index, sure = ann.MultiIndex(codes), 10 * (ann.REACH + 1) - 1
+    for q in codes[:5]:
+        bits = np.bitwise_count(codes ^ q)
+        far, nearest = bits.sum(axis=1), bits.min(axis=1)
+        assert index.probed(q).tolist() == np.flatnonzero(nearest <= ann.REACH).tolist()
+        assert index.within(q, sure).tolist() == np.flatnonzero(far <= sure).tolist()
+    assert len(index.search(codes[0], 1, 3000)) == 3000
+
+
+def test_neighbours_in_the_table(spark):
+    """Recall of the query over all its queries, and the share of rows that come out of the probes."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    stored = {r["vec_id"]: r["embedding"] for r in df.collect() if r["embedding"] is not None}
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, lambda v: v % 50 == 0).collect()}
+    want = {(q, v) for q, _, v in ann.exact(stored, [i for i in stored if i % 50 == 0])}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+    x = np.array(list(stored.values()), np.float64)
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    codes = ann.Codes.learn(unit, 5)
+    index = ann.MultiIndex(codes.encode(unit))
+    probed = np.mean([len(index.probed(c)) for c in codes.encode(unit[::50])]) / len(unit)
+    assert probed < 0.2
+
+
+def test_neighbours_of_very_large_and_small_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (50, [1e-200, 1e-200]), (1, [1e200, -1e200]), (2, [3.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"]): r["score"] for r in ann.search(df, lambda v: v % 50 == 0).collect()}
+    assert {(q, v): s for (q, _, v), s in got.items()} == pytest.approx({(0, 2): 1, (0, 50): 1, (0, 1): 0, (50, 0): 1, (50, 2): 1, (50, 1): 0})
+    assert (0, 3, 1) in got and (50, 3, 1) in got
 
 
 def test_neighbours_odd_inputs(spark):
