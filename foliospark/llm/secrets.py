@@ -1,10 +1,10 @@
 """Secret scanning: base patterns, and a character convolutional network over every candidate and its surroundings.
 
 Candidates are the base patterns' matches and all runs of LEAST or more token characters that hold a digit or a capital.
-The network is trained in numpy on labelled findings (made by rule: keys of many formats against identifiers, numbers, paths and the like,
-set into sentences of a sample of the corpus); a long candidate is scored in overlapping pieces, and the largest score
-counts; scores are calibrated, and its threshold is the highest that keeps the
-recall asked for on findings not trained on. Candidates from the threshold on that touch no base match become spans of
+The network is trained in numpy on labelled findings: the base matches of a sample of the corpus, and findings made by rule
+(keys of many formats against identifiers, numbers, paths and the like, set into words of that sample). A long candidate is
+scored in overlapping pieces, and the largest score counts; scores are calibrated, and the threshold is the highest that
+keeps the recall asked for on findings not trained on, of either origin. Candidates from the threshold on that touch no base match become spans of
 kind `model`; base spans stay whatever the network says.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
+import itertools
 import re
 import string
 
@@ -34,8 +35,8 @@ MARKS = frozenset(string.digits + string.ascii_uppercase)
 #: Characters before, of and after a candidate that the network sees.
 BEFORE, INSIDE, AFTER = 24, 48, 8
 LENGTH = BEFORE + INSIDE + AFTER
-#: Documents whose sentences surround the labelled findings, findings, and the recall that the threshold must keep.
-CONTEXTS, FINDINGS, RECALL = 200, 4000, 0.98
+#: Documents (the least by a hash of their id, CONTEXT_BYTES of text at most) whose words surround the labelled findings, findings, and the recall that the threshold must keep.
+CONTEXTS, CONTEXT_BYTES, FINDINGS, RECALL = 200, 4 << 20, 4000, 0.98
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in string.ascii_letters + string.digits + "+/_.=-"]] = True
 _MARK = np.zeros(256, bool)
@@ -188,7 +189,7 @@ def best_scores(net: CharCNN, text: str, places: list[tuple[int, int]]) -> np.nd
 def labelled_findings(contexts: list[str], n: int = FINDINGS, seed: int = 3) -> list[tuple[str, int, int, int]]:
     """(text, start, end, label) of findings made by rule, half of them secrets, between words of the contexts."""
     rng = np.random.default_rng(seed)
-    words = [w for t in contexts for w in t.split()[:400]] or ["the", "value", "of", "it"]
+    words = [w for t in contexts for w in t.split()] or ["the", "value", "of", "it"]
     chars = {"62": string.ascii_letters + string.digits, "36": string.ascii_lowercase + string.digits, "AZ": string.ascii_uppercase + string.digits, "16": "0123456789abcdef", "64": string.ascii_letters + string.digits + "+/"}
     some = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
     pick = lambda own: own[int(rng.integers(0, len(own)))]
@@ -247,8 +248,14 @@ def labelled_findings(contexts: list[str], n: int = FINDINGS, seed: int = 3) ->
     return out
 
 
+def base_findings(contexts: list[str], most: int) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, 1) of the base matches of the contexts, each cut to a piece at its end; at most so many."""
+    found = ((t, max(a, b - INSIDE), b, 1) for t in contexts for a, b, _ in base_spans(t))
+    return list(itertools.islice(found, most))
+
+
 def train(contexts: list[str], findings: int = FINDINGS) -> CharCNN:
-    made = labelled_findings(contexts, findings)
+    made = labelled_findings(contexts, findings) + base_findings(contexts, findings)
     own = [encode(t, a, b) for t, a, b, _ in made]
     x, inside = np.array([o[0] for o in own]), np.array([o[1] for o in own])
     y = np.array([m[3] for m in made], np.float32)
@@ -262,7 +269,7 @@ def train(contexts: list[str], findings: int = FINDINGS) -> CharCNN:
 def contexts_of(docs: DataFrame, n: int = CONTEXTS) -> list[str]:
     """Texts of a bounded sample, the least by a hash of the id."""
     ids = common.sample_ids(docs.select(F.lit(1).alias("one"), "doc_id"), "one", "doc_id", n, [1]).get(1, [])
-    return list(common.texts_by_id(docs, [ids], 4 << 20)[0].values())
+    return list(common.texts_by_id(docs, [ids], CONTEXT_BYTES)[0].values())
 
 
 SCHEMA = (
@@ -294,7 +301,10 @@ def _written(spans: list) -> str:
 def scan(docs: DataFrame, net: CharCNN) -> DataFrame:
     """Per row of docs: counts of the base findings, the digest of their spans, all spans, the network's own, the best score.
 
-    A null text is empty: no spans, the digest of no bytes, a null max_score. Repeated rows give repeated results.
+    A null text is empty: no spans, the digest of no bytes, a null max_score. Repeated rows give repeated results. Texts and
+    candidates of any length are read whole. Spans that begin at one place come in the order of KINDS; equal scores need no
+    order, for every candidate is judged by itself. An empty table gives no rows; columns besides doc_id and text are not
+    looked at.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
