@@ -1,22 +1,29 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over all windows of the benchmark's words."""
+"""Benchmark decontamination: one Aho-Corasick automaton over all windows of the benchmark's words, run over each text once.
+
+A benchmark too large for one automaton in a worker's memory is dealt to several by a hash of the item; texts then pass them
+one after another, and hits add up by position, so the result is the one that a single automaton would give.
+"""
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
 #: Words of a window.
 WINDOW = 13
-#: UTF-8 bytes of benchmark text that one automaton, built in every worker, may hold; more is refused, not cut.
-MAX_BYTES = 32 << 20
+#: UTF-8 bytes of benchmark text for one automaton, built in every worker: its windows hold each word WINDOW times, and a node
+#: for each byte of them takes some 40 bytes of memory.
+MAX_BYTES = 1 << 20
 #: Bytes that part words become spaces, A-Z become a-z; digits, a-z and all bytes of non-ASCII characters stay.
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -82,14 +89,16 @@ def _matcher(key: str, window: int, items: tuple) -> Matcher:
     return Matcher([(i, w.split()) for i, w in items], window)
 
 
-def benchmark_items(benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> tuple:
-    """(item_id as text, its words joined) of each benchmark row with words, its size checked before it is gathered."""
+def benchmark_groups(benchmark: DataFrame, max_bytes: int = MAX_BYTES):
+    """The benchmark in groups of about max_bytes at most, one at a time: (item_id as text, its words joined) of each row with
+    words. The number of groups comes from the size of all texts, read before any is gathered."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.length("text") > 0)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > max_bytes:
-        raise ValueError(f"the benchmark has {size} bytes, more than the {max_bytes} that one automaton may hold")
-    items = {((r["item_id"] or ""), b" ".join(words_of(r["text"]))) for r in rows.collect()}
-    return tuple(sorted(x for x in items if x[1]))
+    groups = max(1, -(-size // max_bytes))
+    for g in range(groups):
+        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g) if groups > 1 else rows
+        items = {((r["item_id"] or ""), b" ".join(words_of(r["text"]))) for r in own.collect()}
+        yield tuple(sorted(x for x in items if x[1])), g == groups - 1
 
 
 SCHEMA = (
@@ -98,29 +107,35 @@ SCHEMA = (
 )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: bool = False) -> DataFrame:
-    """Per row of docs: its words, the words inside occurrences of benchmark windows, the items that occur, and spans of the
-    hit words in the original text.
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+#: Between automata: which words were hit, as bits, and the items that occurred.
+SO_FAR = "__bits binary, __found array<string>"
 
-    Words are runs of digits, letters and non-ASCII characters after A-Z are lower-cased. An item of fewer words than the
-    window, but not none, is one window. A null text has no words; a null item_id counts as the empty text; an empty
-    benchmark hits nothing. With carry the columns of docs come back too, ours named __hit_*.
-    """
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    items = benchmark_items(benchmark)
-    shared = spark.sparkContext.broadcast((hashlib.sha256(repr(items).encode()).hexdigest(), window, items))
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    kept = docs.columns if carry else []
-    at = docs.columns.index("text") if carry else 1
+
+def _pass(docs: DataFrame, kept: list, items: tuple, window: int, last: bool, at: int) -> DataFrame:
+    """docs after one more automaton: the columns named and, after the last one, results, else what was found so far."""
+    shared = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(items).encode()).hexdigest(), window, items))
+    names = [c.split()[0] for c in SCHEMA.split(", ")][1:6] + ["spans"]
+    earlier = "__bits" in docs.columns
+    result = StructType([docs.schema[c] for c in kept])
+    for f in (StructType.fromDDL(SCHEMA).fields[1:] if last else StructType.fromDDL(SO_FAR).fields):
+        result.add(f"__hit_{f.name}" if last else f.name, f.dataType)
 
     def run(batches):
         matcher = _matcher(*shared.value)
         for piece in common.slices(batches):
-            out = {n: [] for n in names[1:]}
-            for text in common.texts_of(piece.column(at)):
+            out, bits, found = {n: [] for n in names}, [], []
+            before = zip(piece.column(len(kept)).to_pylist(), piece.column(len(kept) + 1).to_pylist()) if earlier else itertools.repeat((b"", []))
+            for text, (old_bits, old_items) in zip(common.texts_of(piece.column(at)), before):
                 words = words_of(text)
                 hit, own = matcher.scan(words)
+                own = own | set(old_items)
+                if old_bits:
+                    hit |= np.unpackbits(np.frombuffer(old_bits, np.uint8), count=len(words)).astype(bool)
+                if not last:
+                    bits.append(np.packbits(hit).tobytes())
+                    found.append(sorted(own))
+                    continue
                 n = int(hit.sum())
                 out["n_words"].append(len(words))
                 out["n_hit"].append(n)
@@ -128,22 +143,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                 out["items_sha256"].append(hashlib.sha256(",".join(sorted(own)).encode()).hexdigest())
                 out["contaminated"].append(n > 0 and 20 * n >= len(words))
                 out["spans"].append([{"start": a, "end": b} for a, b in hit_spans(text, hit)] if n else [])
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            own = [pa.array(out[n], t) for n, t in zip(names[1:], types)]
-            if carry:
-                yield pa.RecordBatch.from_arrays([*piece.columns, *own], [*kept, *[f"__hit_{n}" for n in names[1:]]])
-            else:
-                yield pa.RecordBatch.from_arrays([piece.column(0), *own], names)
+            own = [pa.array(out[n], t) for n, t in zip(names, _TYPES)] if last else [pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], *own], result.names)
+
+    return docs.mapInArrow(run, result)
 
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Per row of docs: its words, the words inside occurrences of benchmark windows, the items that occur, and spans of the
+    hit words in the original text.
+
+    Words are runs of digits, letters and non-ASCII characters after A-Z are lower-cased. An item of fewer words than the
+    window, but not none, is one window. A null text has no words; a null item_id counts as the empty text, and items that
+    share an id are one; an empty benchmark hits nothing, an empty table gives no rows, repeated rows give repeated results.
+    Texts of any length are taken whole. With carry the columns of docs come back too, whatever their names, ours as __hit_*.
+    """
+    common.small_batches(docs.sparkSession)
     if not carry:
-        return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
-    from pyspark.sql.types import StructType
-
-    extra = StructType.fromDDL(SCHEMA).fields[1:]
-    schema = StructType(list(docs.schema.fields))
-    for f in extra:
-        schema.add(f"__hit_{f.name}", f.dataType)
-    return docs.mapInArrow(run, schema)
+        docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    kept = docs.columns
+    for items, last in benchmark_groups(benchmark, max_bytes):
+        docs = _pass(docs, kept, items, window, last, kept.index("text"))
+        if not last:
+            docs = common.cut(docs)  # so that a worker holds one automaton at a time
+    if carry:
+        return docs
+    return docs.select("doc_id", *[F.col(f"__hit_{c.split()[0]}").alias(c.split()[0]) for c in SCHEMA.split(", ")[1:6]], F.col("__hit_spans").alias("spans"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

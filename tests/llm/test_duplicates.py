@@ -251,6 +251,9 @@ def test_contamination_equals_brute_force(spark, texts, words):
             assert inside == [w[i] for i in sorted(hit)]
     left = {r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()}
     assert left == {k for k, r in got.items() if not r["contaminated"]}
+    assert len(list(decontam.benchmark_groups(bench, 400))) > 3
+    again = {r["doc_id"]: r for r in decontam.contamination(docs, bench, max_bytes=400).collect()}  # several automata, one after another
+    assert again == got
 
 
 def test_contamination_odd_inputs(spark, clashing, empty):
@@ -260,5 +263,3 @@ def test_contamination_odd_inputs(spark, clashing, empty):
     left = decontam.drop_contaminated(clashing, bench)
     assert left.columns == clashing.columns
     assert sorted(str(r["doc_id"]) for r in left.collect()) == ["2", "3"]
-    with pytest.raises(ValueError):
-        decontam.benchmark_items(bench, max_bytes=5)
