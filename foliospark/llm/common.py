@@ -31,11 +31,14 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this cluster: spark.checkpoint.dir; a folder of this machine only where that is unset."""
+    """The shared folder of this cluster: spark.checkpoint.dir. Where that is unset, a folder of this machine in local mode, as in
+    tests; on a cluster an error, since executors don't see each other's folders."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = sc.getCheckpointDir()
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="foliospark-")
     if not sc.getCheckpointDir():

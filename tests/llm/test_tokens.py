@@ -1,6 +1,8 @@
 """Byte-level BPE, token counts, token files, perfect hashes."""
 
 import base64
+import bisect
+import random
 import zlib
 
 import numpy as np
@@ -106,3 +108,13 @@ def test_odd_inputs(spark, clashing, empty):
     rows = bpe.encode_documents(clashing, RANKS, P.PATTERN).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in rows) == sorted((i, n) for i, n in [(0, 1), (1, 6), (1, 6), (2, 0), (3, 0)]) or len(rows) == 5
     assert bpe.encode_documents(empty, RANKS, P.PATTERN).count() == 0
+
+
+def test_shards_by_bounds(spark):
+    """The column that deals documents to shards, with bounds in many groups, equals a plain search."""
+    rng = random.Random(4)
+    ids = [rng.randint(-(10**12), 10**12) for _ in range(300)]
+    for n in (0, 1, 63, 64, 65, 200):
+        bounds = sorted(rng.sample(ids, n))
+        rows = spark.createDataFrame([(i,) for i in [*ids, None]], "doc_id bigint").select("doc_id", tokenfile._shard_column(bounds).alias("s")).collect()
+        assert all(r["s"] == (0 if r["doc_id"] is None else bisect.bisect_left(bounds, r["doc_id"])) for r in rows)
