@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import bpe, decontam, linededup, simhash, toxicity
-from foliospark.llm.common import fresh_path, table
+from foliospark.llm.common import drop_tree, fresh_path, table
 from foliospark.llm.queries import RANKS
 
 
@@ -52,9 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over the table of documents. Each stage's result is a table in the shared folder that goes when
+    the next one is written; the last one's input stays, for the rows returned come from it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         path = fresh_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_tree(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
