@@ -104,6 +104,11 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+def megabytes(size: Column) -> Column:
+    """Bytes as megabytes of 1,048,576 bytes with one decimal."""
+    return F.round(size / F.lit(1 << 20), 1)
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

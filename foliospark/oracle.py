@@ -300,4 +300,12 @@ ORACLES: dict[str, str] = {
           FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 30 GROUP BY conv_id)
         SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(length({STRIP.format('t')}) AS INTEGER) AS n_chars, 'incapacidad' AS tipo_documento, CAST(NULL AS VARCHAR) AS documento_numero,
         CASE WHEN length({STRIP.format('t')}) < 10 THEN 'texto insuficiente' END AS note, CAST(NULL AS VARCHAR) AS error FROM x""",
+    "q74_requirement_seeds": """SELECT unnest(range(1, 13))::INTEGER AS id, unnest([1, 1, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7]) AS idlpentidad, unnest([3, 3, 3, 3, 3, 3, 3, 3, 2, 2, 2, 2]) AS idlptipoausentismo,
+        unnest(['INCAPACIDAD', 'EPICRISIS', 'INCAPACIDAD', 'HISTORIA_CLINICA', 'INCAPACIDAD', 'HISTORIA_CLINICA', 'INCAPACIDAD', 'HISTORIA_CLINICA', 'INCAPACIDAD', 'FURAT', 'INCAPACIDAD', 'FURAT']) AS documento, true AS obligatorio""",
+    "q75_case_problems": """SELECT CAST(o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 60000000 ELSE 80000000 END AS VARCHAR) AS case_id,
+        CAST(o_orderkey + CASE WHEN o_orderkey % 7 = 3 AND o_orderkey % 5 = 0 THEN 60000000 ELSE 80000000 END AS VARCHAR) AS number,
+        o_orderkey % 5 = 0 AND o_orderkey % 7 <> 3 AS clash, o_orderkey % 4 = 1 AS many, o_orderkey % 50 = 7 AS failed,
+        CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END AS n_base, 3 AS idlpestadosrecepausentismos FROM orders""",
+    "q76_text_functions": """SELECT o_orderkey, 'Analista ' || (o_orderkey % 9) || '|Gerente ' || (o_orderkey % 7) AS posts, 'Ána Núñez Güell' AS name, 'ANA NUNEZ GUELL' AS plain,
+        CAST(o_orderdate AS DATE) AS asked, CAST(NULL AS DATE) AS others, CAST(o_orderdate AS DATE) AS before, round((o_orderkey % 50) / 4.0, 1)::DOUBLE AS mb FROM orders""",
 }

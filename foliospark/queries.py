@@ -521,3 +521,45 @@ def q73_names_contained(spark, d):
     )
     own = own.select((F.col("c_custkey") * 5 + F.col("way")).alias("read_id"), read.alias("read"))
     return resolve.employee_by_name(own, views.dims(spark, d)["employees"], "read_id", F.col("read")).select("read_id", "emp_id", "emp_name")
+
+
+@query
+def q74_requirement_seeds(spark, d):
+    return catalog.requirement_seeds(spark)
+
+
+@query
+def q75_case_problems(spark, d):
+    """Cases from files to staging: the number read against the file name's, several base documents, no number in the text."""
+    k = F.col("o_orderkey")
+    number = (F.when(k % 5 == 0, 60_000_000).otherwise(80_000_000) + k).cast("string")
+    base = table(spark, d, "orders").select(k, number.alias("n"))
+    one = base.select("o_orderkey", F.concat("n", F.lit("_INCAPACIDAD.pdf")).alias("path"))
+    two = base.where(k % 4 == 1).select("o_orderkey", F.concat("n", F.lit("_INCAPACIDAD_2.pdf")).alias("path"))
+    files = one.unionByName(two).select("path", F.lit("CORREO").alias("channel"))
+    said = F.when(k % 7 == 3, F.lit("sin numero alguno")).otherwise(F.concat(F.lit("Documento CC: "), (k + 80_000_000).cast("string")))
+    texts = one.select("path", F.concat(F.lit("CERTIFICADO DE INCAPACIDAD MEDICA. "), said).alias("text"), F.when(k % 50 == 7, F.lit("unreadable")).alias("error"))
+    mapped, _ = pipeline.process_cases(files, texts, catalog.empty_dims(spark), TODAY, limit=None)
+    return mapped.select(
+        "case_id", F.col("cedula_leida").alias("number"), F.contains("problemas", F.lit("≠ leída")).alias("clash"), F.contains("problemas", F.lit("Hay 2 documentos base")).alias("many"),
+        "failed", "n_base", "idlpestadosrecepausentismos",
+    )
+
+
+@query
+def q76_text_functions(spark, d):
+    """Values after each label, names without what follows them, capitals without accents, dates in cells and dates that belong to
+    another label, sizes."""
+    k = F.col("o_orderkey")
+    day = F.to_date("o_orderdate")
+    cells = F.concat_ws(" ", F.dayofmonth(day), F.month(day), F.year(day))
+    posts = F.concat(F.lit("Cargo: Analista "), k % 9, F.lit("\nx\nCARGO -\n\n Gerente "), k % 7, F.lit("\ncargo"))
+    name = F.concat(F.lit(" Ána  Núñez Güell "), views.pick(("edad 30", "R", ".:", "Fecha x", "Historia 7"), k % 5))
+    other = F.concat(F.lit("Fecha Fin:"), day.cast("string"), F.lit("\nFecha Inicio: ninguna"))
+    before = F.concat(day.cast("string"), F.lit("\nFecha Inicio"))
+    return table(spark, d, "orders").select(
+        "o_orderkey", F.array_join(text.after_each(posts, r"\bcargo\b", 40), "|").alias("posts"), names.clean_name(name).alias("name"),
+        text.ascii_upper(names.clean_name(name)).alias("plain"), dates.labelled_date_or_triplet(F.concat(F.lit("Fecha solicitud | "), cells), "solicitud").alias("asked"),
+        dates.labelled_date(other, r"fecha\s*inicio").alias("others"), dates.labelled_date(before, r"fecha\s*inicio").alias("before"),
+        text.megabytes((k % 50) * 1_048_576 / 4).alias("mb"),
+    )

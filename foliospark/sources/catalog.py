@@ -33,14 +33,28 @@ VIEWS = {
 }
 LABELS = {"lptipoausentismo": TYPE_LABELS, "lpnivelincapacidad": LEVEL_LABELS, "lpestadosrecepausentismos": {v: k for k, v in RECEPTION.items()}}
 
+# Documents that insurers ask for, as insurer, absence type and document.
+REQUIREMENTS = (
+    (1, 3, "INCAPACIDAD"), (1, 3, "EPICRISIS"), (3, 3, "INCAPACIDAD"), (3, 3, "HISTORIA_CLINICA"), (4, 3, "INCAPACIDAD"), (4, 3, "HISTORIA_CLINICA"),
+    (5, 3, "INCAPACIDAD"), (5, 3, "HISTORIA_CLINICA"), (6, 2, "INCAPACIDAD"), (6, 2, "FURAT"), (7, 2, "INCAPACIDAD"), (7, 2, "FURAT"),
+)
+
+
+def requirement_seeds(spark: SparkSession) -> DataFrame:
+    """The first rows of the table of required documents."""
+    return spark.createDataFrame([(k + 1, *row, True) for k, row in enumerate(REQUIREMENTS)], TABLES["lprequisitos_eps"])
+
 
 def create_tables(spark: SparkSession, database: str) -> None:
-    """The tables, as Parquet, with the rows of the label tables, and temporary views over them."""
+    """The tables, as Parquet, with the rows of the label tables and, once, of the required documents; temporary views over
+    them."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name, columns in TABLES.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
     for name in LABELS:
         labels(spark, name).write.mode("overwrite").insertInto(f"{database}.{name}")
+    if spark.table(f"{database}.lprequisitos_eps").isEmpty():  # users' own rows stay
+        requirement_seeds(spark).write.insertInto(f"{database}.lprequisitos_eps")
     for name, query in VIEWS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS " + query.format(**{t: f"{database}.{t}" for t in TABLES}))
 
