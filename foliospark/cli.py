@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .operators import cases
 from .plans import pipeline
 from .sources import catalog, inbox, pages, render
+from .sources.session import spread
 
 #: Names of the extractors in staging rows.
 NAMES = {"rule": "rule-based", "hibrido": "hibrido", "ollama": "ollama"}
@@ -21,7 +22,7 @@ def texts_of(spark: SparkSession, root: str, files: DataFrame, engine: str) -> D
     """path, text, error of the files named (path, full_path); only they are opened."""
     content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("__p"), "content")
     opened = files.join(content, F.col("full_path") == F.col("__p")).select(F.col("path").alias("doc_id"), F.col("path").alias("name"), "content")
-    return pages.document_text(pages.recognise(render.render(opened), engine)).withColumnRenamed("doc_id", "path")
+    return pages.document_text(pages.recognise(render.render(spread(opened)), engine)).withColumnRenamed("doc_id", "path")
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> dict:

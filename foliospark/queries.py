@@ -13,7 +13,7 @@ from .operators import cases, mapper, merge, output, reconcile, report, resolve,
 from .oracle import ORACLES
 from .plans import pipeline
 from .sources import catalog, inbox, letters, pages, views
-from .sources.session import settled
+from .sources.session import settled, spread
 from .sources.views import table
 
 TODAY = date(2031, 1, 1)
@@ -474,7 +474,7 @@ def q69_page_sizes(spark, d):
 @query
 def q70_certificates(spark, d):
     """Certificates of six layouts, each field as printed."""
-    r = pipeline.rule_extractor()(settled(letters.certificates(spark, d)))
+    r = pipeline.rule_extractor()(settled(spread(letters.certificates(spark, d))))
     i = "record.incapacidad."
     return r.select(
         "o_orderkey", F.col("record.tipo_documento").alias("kind"), F.col("record.paciente.documento_tipo").alias("id_kind"),
@@ -488,7 +488,7 @@ def q70_certificates(spark, d):
 
 @query
 def q71_holiday_letters(spark, d):
-    r = pipeline.extract(settled(letters.holidays(spark, d)))
+    r = pipeline.extract(settled(spread(letters.holidays(spark, d))))
     i = "record.incapacidad."
     return r.select(
         "o_orderkey", F.col("record.tipo_documento").alias("kind"), F.col("record.paciente.documento_numero").alias("id_number"), F.col("record.paciente.nombre").alias("name"),
@@ -498,7 +498,7 @@ def q71_holiday_letters(spark, d):
 
 @query
 def q72_permits(spark, d):
-    r = pipeline.extract(settled(letters.permits(spark, d)))
+    r = pipeline.extract(settled(spread(letters.permits(spark, d))))
     i, p = "record.incapacidad.", "record.permiso."
     return r.select(
         "o_orderkey", F.col("record.tipo_documento").alias("kind"), F.col("record.paciente.documento_numero").alias("id_number"), F.col("record.paciente.nombre").alias("name"),

@@ -25,3 +25,10 @@ def settled(df: DataFrame) -> DataFrame:
     executor costs nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores at least, for work that costs much a row over a table of few files. Tables
+    of more partitions stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
