@@ -176,7 +176,8 @@ def predict(docs: DataFrame, model: PPM) -> DataFrame:
     """Per row of docs: doc_id, held_out, lang_pred, score (the posterior of the predicted language under equal priors).
 
     `und` with score 0 where the text is null, empty or has no letter, or nothing was learned. Ties go to the language that
-    sorts first. Every whole text is scored; repeated rows give repeated results.
+    sorts first. Every whole text is scored, whatever its length; repeated rows give repeated results, an empty table none;
+    columns besides doc_id and text are not looked at.
     """
     spark = docs.sparkSession
     common.small_batches(spark)

@@ -1,7 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are learned from labelled text: one of ordinary text, and one of the same followed by toxic
-text, namely the parts of words in toxic documents that are over-represented there. Every window of a few words is
+text, namely the parts of words in toxic documents that are over-represented there. (Dictionaries trained by zstandard on each
+class alone give the toxic one mostly the words that both classes share, and find at most two thirds of toxic documents; the
+README has the figures.) Every window of a few words is
 compressed with each; the bytes that the toxic dictionary saves, their sum over the windows where it saves enough or the
 largest of them, whichever calibrates better, are the text's evidence. A threshold on the evidence is calibrated on labelled documents that the dictionaries haven't seen.
 """
@@ -187,7 +189,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
     """Learns from labelled rows not held out: of each class at most per_class documents, the least by a hash of their id,
     and at most max_bytes of whole texts, or the least text where all are larger.
-    A document with conflicting labels counts as toxic; labels other than 0 and 1 are ignored."""
+    A document with conflicting labels counts as toxic; labels other than 0 and 1 are ignored. Without documents of either
+    class nothing is learned and every text has the score of an empty one."""
     marks = (
         labels.where(F.col("toxic").isin(0, 1) & ~common.held_out())
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -199,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_by
 
 def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted. Null and empty texts have no evidence and score like an empty
-    one; repeated rows give repeated results. With carry the columns of docs come back, with __toxic_score."""
+    one; repeated rows give repeated results, an empty table none. Texts of any length are scored whole, window by window, and
+    equal evidence gives equal scores. With carry the columns of docs come back, whatever their names, with __toxic_score."""
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -27,6 +27,17 @@ def test_toxicity_on_held_out_rows(tables):
     assert scored.count() == tables["documents"].count()
 
 
+def test_toxicity_recall_with_labels_enough(spark):
+    """The 0.1 tables hold some hundred toxic documents to learn from; those held out are found, others are left alone."""
+    docs, labels = (common.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    marks = labels.groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "truth")
+    asked = docs.join(marks.where("truth is not null"), "doc_id").where(common.held_out())
+    scored = toxicity.score(asked.select("doc_id", "text"), toxicity.train(docs, labels))
+    rows = scored.join(marks, "doc_id").collect()
+    yes, no = ([r["predicted"] for r in rows if r["truth"] == t] for t in (1, 0))
+    assert len(yes) > 100 and np.mean(yes) >= 0.9 and np.mean(no) <= 0.02
+
+
 def test_toxicity_learns_marks():
     rng = random.Random(3)
     plain = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(300)]
