@@ -22,7 +22,7 @@ from ..functions.codes import (
     type_of_text,
 )
 from ..functions.dates import day_count, due_date, in_range, iso_date
-from ..functions.text import join_present
+from ..functions.text import filled, join_present
 from ..schema import STAGING_COLUMNS
 from . import resolve
 from .reconcile import fill_in
@@ -75,6 +75,11 @@ def permit_observations(label: Column, permit: str) -> Column:
     )
 
 
+def with_corrections(df: DataFrame, body: Column) -> DataFrame:
+    """df with a reviewer's corrections o_<name> from a JSON object; names outside OVERRIDES and blank values don't count."""
+    return df.withColumns({f"o_{name}": filled(F.get_json_object(body, f"$.{name}")) for name in OVERRIDES})
+
+
 def _effective(df: DataFrame) -> DataFrame:
     """The values that count: corrections over what was read."""
     own = lambda name: F.nullif(F.col(f"o_{name}"), F.lit("")) if f"o_{name}" in df.columns else F.lit(None).cast("string")

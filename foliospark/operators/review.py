@@ -88,6 +88,21 @@ def decide(staging: DataFrame, requests: DataFrame, strict: bool = True) -> Data
     return j.select("id", "action", code.alias("code"), F.when(code == 200, state).alias("state"), "lacking")
 
 
+def register(mapped: DataFrame, asked: Column, reason: Column) -> DataFrame:
+    """mapped rows with code and the state asked for at once: 409 for the approval of a row that needs review, which stays pending,
+    else 200. States that there aren't count as pending; a rejection's reason goes to the observations."""
+    upper = F.upper(F.coalesce(asked, F.lit("")))
+    blocked = (upper == APPROVED) & F.col("needs_review")
+    told = (upper == REJECTED) & (F.coalesce(reason, F.lit("")) != "")
+    return mapped.withColumns(
+        {
+            "code": F.when(blocked, 409).otherwise(200),
+            "estado": F.when(upper.isin(APPROVED, REJECTED) & ~blocked, upper).otherwise(F.lit(PENDING)),
+            "observaciones": F.when(told, _appended(F.col("observaciones"), F.concat(F.lit("RECHAZADO: "), reason))).otherwise(F.col("observaciones")),
+        }
+    )
+
+
 def alerts(staging: DataFrame, number: Column, channel: Column) -> DataFrame:
     """An alert for each row whose documents are incomplete (not for rows that only need review)."""
     lacking = F.coalesce("documentos_faltantes", F.lit("documentos requeridos"))

@@ -308,4 +308,9 @@ ORACLES: dict[str, str] = {
         CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END AS n_base, 3 AS idlpestadosrecepausentismos FROM orders""",
     "q76_text_functions": """SELECT o_orderkey, 'Analista ' || (o_orderkey % 9) || '|Gerente ' || (o_orderkey % 7) AS posts, 'Ána Núñez Güell' AS name, 'ANA NUNEZ GUELL' AS plain,
         CAST(o_orderdate AS DATE) AS asked, CAST(NULL AS DATE) AS others, CAST(o_orderdate AS DATE) AS before, round((o_orderkey % 50) / 4.0, 1)::DOUBLE AS mb FROM orders""",
+    "q77_corrections": """SELECT o_orderkey, CAST(NULL AS VARCHAR) AS o_cedula, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 30 AS VARCHAR) END AS o_dias,
+        CASE WHEN o_orderkey % 4 = 1 THEN 'O-9' END AS o_numeroorden, CAST(NULL AS VARCHAR) AS o_tipo FROM orders""",
+    "q78_register": f"""WITH {MAPPED} SELECT claim_id, CASE WHEN claim_id % 5 = 0 AND problemas IS NOT NULL THEN 409 ELSE 200 END AS code,
+        CASE WHEN claim_id % 5 = 0 AND problemas IS NULL THEN 'APROBADO' WHEN claim_id % 5 IN (1, 2) THEN 'RECHAZADO' ELSE 'PENDIENTE_REVISION' END AS estado,
+        CASE WHEN claim_id % 5 = 1 THEN CASE WHEN coalesce(observaciones, '') = '' THEN '' ELSE observaciones || ' | ' END || 'RECHAZADO: ilegible' ELSE observaciones END AS observaciones FROM st""",
 }

@@ -563,3 +563,23 @@ def q76_text_functions(spark, d):
         dates.labelled_date(other, r"fecha\s*inicio").alias("others"), dates.labelled_date(before, r"fecha\s*inicio").alias("before"),
         text.megabytes((k % 50) * 1_048_576 / 4).alias("mb"),
     )
+
+
+@query
+def q77_corrections(spark, d):
+    """Corrections from JSON bodies: known names only, blanks dropped, numbers as texts, bodies that are none."""
+    k = F.col("o_orderkey")
+    body = (
+        F.when(k % 4 == 0, F.concat(F.lit('{"dias": '), k % 30, F.lit(', "otro": "x"}'))).when(k % 4 == 1, F.lit('{"numeroorden": " O-9 ", "cedula": " "}'))
+        .when(k % 4 == 2, F.lit("no es JSON"))
+    )
+    own = mapper.with_corrections(table(spark, d, "orders").select("o_orderkey"), body)
+    return own.select("o_orderkey", *[f"o_{n}" for n in ("cedula", "dias", "numeroorden", "tipo")])
+
+
+@query
+def q78_register(spark, d):
+    """Claims registered at once as approved, rejected with or without a reason, or in a state that there isn't."""
+    k = F.col("claim_id")
+    asked = views.pick(("aprobado", "RECHAZADO", "Rechazado", "otro", None), k % 5)
+    return review.register(_mapped(spark, d), asked, F.when(k % 5 == 1, F.lit("ilegible"))).select("claim_id", "code", "estado", "observaciones")
