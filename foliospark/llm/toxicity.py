@@ -2,8 +2,7 @@
 
 Two zstandard dictionaries are learned from labelled text: one of ordinary text, and one of the same followed by toxic
 text, namely the parts of words in toxic documents that are over-represented there. (Dictionaries trained by zstandard on each
-class alone give the toxic one mostly the words that both classes share, and find at most two thirds of toxic documents; the
-README has the figures.) Every window of a few words is
+class alone hold mostly the words that both classes share and don't tell them apart; the README has the figures.) Every window of a few words is
 compressed with each; the bytes that the toxic dictionary saves, their sum over the windows where it saves enough or the
 largest of them, whichever calibrates better, are the text's evidence. A threshold on the evidence is calibrated on labelled documents that the dictionaries haven't seen.
 """
