@@ -26,6 +26,8 @@ NUM, DEN = 4, 5
 BUCKETS = 1 << 16
 #: Lines of more words than this have a sketch of 128 bits, others one of 64.
 SHORT = 64
+#: Parts that the lines of one word are dealt to where they are only looked up.
+SALT = 16
 #: White space that parts words.
 BLANKS = ("\t", "\r", "\x0b", "\x0c")
 #: What names a line: the document, and a number that holds the line's own below a tag of the document's text.
@@ -162,7 +164,10 @@ def _near_copies(lines: DataFrame, num: int, den: int) -> DataFrame:
     alike = both * (num + den) >= (_size("a") + _size("b")) * num
 
     def verified(some: DataFrame) -> DataFrame:
-        others = shared.join(some.select("k").distinct(), "k", "left_semi")
+        # words that very many lines share are dealt to several tasks
+        keys = some.select("k").distinct().select("k", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        salted = shared.withColumn("salt", F.pmod(F.xxhash64(*PLACE), F.lit(SALT)).cast("int"))
+        others = salted.join(keys, ["k", "salt"], "left_semi").drop("salt")
         found = _partners(some.join(texts, list(PLACE)), others.join(texts, list(PLACE)), like & _earlier() & alike)
         return common.cut(found.select(*PLACE).distinct())
 
