@@ -3,8 +3,8 @@
 Candidates are the base patterns' matches and all runs of LEAST or more token characters that hold a digit or a capital.
 The network is trained in numpy on labelled findings: the base matches of a sample of the corpus, and findings made by rule
 (keys of many formats against identifiers, numbers, paths and the like, set into words of that sample). A long candidate is
-scored in overlapping pieces, and the largest score counts; scores are calibrated, and the threshold is the highest that
-keeps the recall asked for on findings not trained on, of either origin. Candidates from the threshold on that touch no base match become spans of
+scored in overlapping pieces, and the largest score counts; scores are calibrated, and the thresholds, one for each shape of
+candidate, are the highest that keep the recall asked for on findings not trained on, of either origin. Candidates from their threshold on that touch no base match become spans of
 kind `model`; base spans stay whatever the network says.
 """
 
@@ -37,6 +37,8 @@ BEFORE, INSIDE, AFTER = 24, 48, 8
 LENGTH = BEFORE + INSIDE + AFTER
 #: Documents (the least by a hash of their id, CONTEXT_BYTES of text at most) whose words surround the labelled findings, findings, and the recall that the threshold must keep.
 CONTEXTS, CONTEXT_BYTES, FINDINGS, RECALL = 200, 4 << 20, 4000, 0.98
+#: Findings of a shape, not trained on, that its own threshold needs.
+LEAST_OF_SHAPE = 30
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in string.ascii_letters + string.digits + "+/_.=-"]] = True
 _MARK = np.zeros(256, bool)
@@ -112,6 +114,7 @@ class CharCNN:
     slope: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
+    limits: dict = dataclasses.field(default_factory=dict)  # thresholds by shape; the one above for shapes with few findings
 
     CHARS, DIM, WIDTH, FILTERS, HIDDEN = 97, 12, 5, 24, 16
 
@@ -158,8 +161,8 @@ class CharCNN:
                     second[p] = 0.999 * second[p] + 0.001 * v * v
                     w[p] -= (rate * (first[p] / (1 - 0.9**step)) / (np.sqrt(second[p] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
 
-    def calibrate(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling, then the highest threshold that keeps the recall."""
+    def calibrate(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray, shapes: np.ndarray | None = None, recall: float = RECALL) -> None:
+        """Platt scaling, then the highest thresholds that keep the recall, over all findings and of each shape."""
         out = self._forward(x, inside)[0].astype(np.float64)
         a, b = 1.0, 0.0
         for _ in range(300):
@@ -167,14 +170,29 @@ class CharCNN:
             a -= 0.05 * float(((p - y) * out).mean()) / max(1.0, float((out * out).mean()) ** 0.5)
             b -= 0.5 * float((p - y).mean())
         self.slope, self.shift = a, b
-        good = np.sort(self.scores(x, inside)[y == 1])
-        self.threshold = float(good[int((1 - recall) * len(good))]) if len(good) else 1.0
+        scores = self.scores(x, inside)
+        highest = lambda own: float(np.sort(own)[int((1 - recall) * len(own))])
+        self.threshold = highest(scores[y == 1]) if (y == 1).any() else 1.0
+        for s in set(shapes.tolist()) if shapes is not None else ():
+            own = scores[(y == 1) & (shapes == s)]
+            if len(own) >= LEAST_OF_SHAPE:
+                self.limits[s] = highest(own)
 
     def scores(self, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
         out = self._forward(x, inside)[0].astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(self.slope * out + self.shift, -30, 30)))
 
 
+def shape(value: str) -> int:
+    """0 for hexadecimal digits only, 1 with signs, 2 for other letters and digits."""
+    return 0 if re.fullmatch("[0-9a-fA-F]+", value) else 1 if not value.isalnum() else 2
+
+
+def limit(net: CharCNN, value: str) -> float:
+    """The threshold that the score of this candidate must reach."""
+    return getattr(net, "limits", {}).get(shape(value), net.threshold)
+
+
 def best_scores(net: CharCNN, text: str, places: list[tuple[int, int]]) -> np.ndarray:
     """Of each place in the text the largest score of any of its pieces."""
     parts = [(k, *p) for k, (a, b) in enumerate(places) for p in pieces(a, b)]
@@ -261,8 +279,9 @@ def train(contexts: list[str], findings: int = FINDINGS) -> CharCNN:
     y = np.array([m[3] for m in made], np.float32)
     rest = np.arange(len(y)) % 5 == 4
     net = CharCNN.new()
+    shapes = np.array([shape(t[a:b]) for t, a, b, _ in made])
     net.train(x[~rest], inside[~rest], y[~rest])
-    net.calibrate(x[rest], inside[rest], y[rest])
+    net.calibrate(x[rest], inside[rest], y[rest], shapes[rest])
     return net
 
 
@@ -289,7 +308,7 @@ def findings_of(text: str, net: CharCNN) -> tuple[list, list, float | None]:
     added = []
     for (a, b), s in zip(places, scores):
         k = int(np.searchsorted(starts, b, "left"))  # base spans that start before b
-        if s >= net.threshold and not (k and reach[k - 1] > a):
+        if s >= limit(net, text[a:b]) and not (k and reach[k - 1] > a):
             added.append((a, b, 3))
     return base, added, float(scores.max())
 

@@ -92,3 +92,14 @@ def test_recall_on_base_matches_not_trained_on(spark):
     new = [t for t in (r["text"] or "" for r in docs.select("text").collect()) if t not in seen]
     found = [secrets.best_scores(net, t, [(a, b)])[0] >= net.threshold for t in new for a, b, _ in secrets.base_spans(t)]
     assert len(found) > 100 and np.mean(found) >= 0.95
+
+
+def test_each_shape_keeps_its_recall():
+    net = secrets.train(["some words of a text here"] * 5)
+    made = secrets.labelled_findings(["other words in this text"], 3000, seed=41)
+    found, truth, kinds = [], np.array([m[3] for m in made]) == 1, np.array([secrets.shape(t[a:b]) for t, a, b, _ in made])
+    for t, a, b, _ in made:
+        found.append(secrets.best_scores(net, t, [(a, b)])[0] >= secrets.limit(net, t[a:b]))
+    found = np.array(found)
+    assert set(net.limits) == {0, 1, 2}
+    assert all(found[truth & (kinds == k)].mean() >= 0.94 for k in net.limits) and found[~truth].mean() <= 0.1
