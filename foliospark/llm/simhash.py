@@ -27,8 +27,8 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Fingerprints that the plan is learned from at most; the index holds all.
 SAMPLE = 4096
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Pairs compared at once.
-PAIRS = 1 << 20
+#: Pairs compared at once; entries that one task compares with one another.
+PAIRS, HEAVY = 1 << 20, 1 << 14
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
@@ -200,9 +200,10 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int
         at = stop
 
 
-def links(distinct: DataFrame, plan: Plan, radius: int = RADIUS) -> DataFrame:
+def links(distinct: DataFrame, plan: Plan, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that join the same components as all links do. In each bucket
-    and piece of pairs only a forest of its links comes out, so no group of near copies is written out as all pairs."""
+    and piece of pairs only a forest of its links comes out, so no group of near copies is written out as all pairs. A bucket of
+    more than `heavy` entries is compared by several tasks."""
 
     def probes(batches):
         for piece in common.slices(batches, 8192):
@@ -233,8 +234,22 @@ def links(distinct: DataFrame, plan: Plan, radius: int = RADIUS) -> DataFrame:
         for a, b in bucket_links(key, fp, probe, radius):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    entries = distinct.select("fp").mapInArrow(probes, "k bigint, fp bigint, probe boolean")
-    return entries.repartition("k").sortWithinPartitions("k", "probe").mapInArrow(verify, "a bigint, b bigint").distinct()
+    entries = common.cut(distinct.select("fp").mapInArrow(probes, "k bigint, fp bigint, probe boolean"))
+    many = entries.where(~F.col("probe")).groupBy(F.col("k").alias("__k")).agg(F.ceil(F.count("*") / F.lit(heavy)).alias("parts")).where(F.col("parts") > 1)
+    dealt = entries if many.isEmpty() else _in_cells(entries, many)
+    return dealt.repartition("k").sortWithinPartitions("k", "probe").mapInArrow(verify, "a bigint, b bigint").distinct()
+
+
+def _in_cells(entries: DataFrame, many: DataFrame) -> DataFrame:
+    """entries with the buckets of `many` (__k, parts) taken apart: their entries fall into cells by a hash, each two cells, and
+    each cell with itself, make a bucket of their own, and probes go to every cell. Any two entries, and each probe and entry,
+    meet in some bucket; buckets that a hash of their name joins by chance cost comparisons only."""
+    own = entries.join(many, F.col("k") == F.col("__k"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("int"))
+    cell = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    pair = lambda j: F.struct(F.when(F.col("probe"), j).otherwise(F.least(cell, j)).alias("i"), F.when(F.col("probe"), j).otherwise(F.greatest(cell, j)).alias("j"))
+    spread = own.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), pair)))
+    name = F.when(F.col("parts") == 1, F.col("k")).otherwise(F.xxhash64("k", "to.i", "to.j"))
+    return spread.select(name.alias("k"), "fp", "probe")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

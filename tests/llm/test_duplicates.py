@@ -112,6 +112,9 @@ def test_pigeonhole_loses_no_link(spark, n, spread):
     want = plain_components({int(s): int(u) for s, u in zip(own.view(np.int64), own)})
     assert {k: got.get(k, k) for k in want} == want
     assert links.count() < 40 * n
+    again = simhash.links(df, plan, heavy=20)  # large buckets taken apart
+    got = {r["node"]: r["root"] for r in components.components(again, "a", "b").collect()}
+    assert {k: got.get(k, k) for k in want} == want
 
 
 def test_components_of_any_shape(spark):
