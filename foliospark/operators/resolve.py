@@ -38,6 +38,17 @@ def _grams(key: Column, size: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - size + 1), lambda k: F.substring(key, k, F.lit(size))))
 
 
+def _pieces(c: Column, sizes: list[int]) -> Column:
+    """The different parts of a text of these few lengths."""
+    every = [F.when(F.length(c) >= n, _grams(c, n)).otherwise(F.array().cast("array<string>")) for n in sizes]
+    return F.concat(*every) if every else F.array().cast("array<string>")
+
+
+def _lengths(df: DataFrame, column: str) -> list[int]:
+    """The lengths under GRAM that the column has: a few numbers at most."""
+    return sorted(r[0] for r in df.select(F.length(column)).distinct().where(F.length(column).between(1, GRAM - 1)).collect())
+
+
 def containment(reads: DataFrame, catalogue: DataFrame, both_ways: bool, small: int = SMALL) -> DataFrame:
     """__read, __order: of each row of reads (__read, __text) the first row of catalogue (__order, __key) whose key the text
     holds, or also, both ways, whose key holds the text. Empty keys and texts match nothing.
@@ -62,20 +73,20 @@ def containment(reads: DataFrame, catalogue: DataFrame, both_ways: bool, small:
 
     read_grams = reads.where(F.length("__text") >= GRAM).select("__read", "__text", F.explode(_grams(F.col("__text"), GRAM)).alias("__g"))
     found = read_grams.join(rarest, "__g").where(holds).select("__read", "__order")
-    bits = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda n: F.when(F.length("__text") >= n, F.transform(
-        F.sequence(F.lit(1), F.length("__text") - n + 1), lambda k: F.substring(F.col("__text"), k, n))).otherwise(F.array().cast("array<string>"))))
-    found = found.unionByName(reads.select("__read", F.explode(F.array_distinct(bits)).alias("__g")).join(short, "__g").select("__read", "__order"))
+    sizes = _lengths(short, "__g")  # a short key is looked up among the parts of its length
+    if sizes:
+        parts = reads.select("__read", F.explode(_pieces(F.col("__text"), sizes)).alias("__g"))
+        found = found.unionByName(parts.join(short, "__g").select("__read", "__order"))
     if both_ways:
         weighed = read_grams.join(common, "__g", "left").groupBy("__read", "__text").agg(
             F.min_by("__g", F.struct(F.coalesce("__df", F.lit(0)), "__g")).alias("__g")
         )
         inside = weighed.join(own, "__g").where(F.contains(F.col("__key"), F.col("__text"))).select("__read", "__order")
-        brief = reads.where(F.length("__text") < GRAM)
-        every = catalogue.select("__order", F.explode(F.transform(F.sequence(F.lit(1), F.length("__key")), lambda k: F.substring(F.col("__key"), k, F.lit(GRAM - 1)))).alias("__tail"))
-        inside = inside.unionByName(
-            brief.withColumn("__c", F.left("__text", F.lit(1))).join(every.withColumn("__c", F.left("__tail", F.lit(1))), "__c")
-            .where(F.startswith(F.col("__tail"), F.col("__text"))).select("__read", "__order")
-        )
+        sizes = _lengths(reads, "__text")  # and a short text among the parts of the keys
+        if sizes:
+            parts = catalogue.select("__order", F.explode(_pieces(F.col("__key"), sizes)).alias("__g"))
+            least = parts.groupBy("__g").agg(F.min("__order").alias("__order"))
+            inside = inside.unionByName(reads.join(least, F.col("__text") == F.col("__g")).select("__read", "__order"))
         found = found.unionByName(inside)
     return found.groupBy("__read").agg(F.min("__order").alias("__order"))
 
