@@ -188,7 +188,7 @@ ORACLES: dict[str, str] = {
         CASE o_orderkey % 5 WHEN 0 THEN d WHEN 1 THEN d WHEN 2 THEN make_date(2000 + year(d) % 100, month(d), day(d)) END AS day FROM x)
         SELECT o_orderkey, raw, day, day AS labelled FROM y""",
     "q16_code_candidates": """SELECT p_partkey, 'K' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || '.' || (p_partkey % 10) AS best,
-        CASE WHEN p_partkey % 2 = 0 THEN 'S' || (p_partkey % 90 + 10) END AS code, 2 AS fixes FROM part""",
+        CASE WHEN p_partkey % 2 = 0 THEN 'S' || (p_partkey % 90 + 10) END AS code, [2, 0, 2, 99, 99][p_partkey % 5 + 1] AS fixes FROM part""",
     "q17_deaccent": f"""SELECT doc_id, md5({STRIP.format("regexp_replace(strip_accents(lower(coalesce(text, ''))), '[[:space:]]+', ' ', 'g')")}) AS folded FROM documents""",
     "q18_form_dispatch": """SELECT o_orderkey, o_orderkey % 5 <> 4 AS relevant, CASE o_orderkey % 5 WHEN 0 THEN 'permiso' WHEN 1 THEN 'vacaciones' ELSE 'incapacidad' END AS kind FROM orders""",
     "q20_employee_by_id": f"""WITH {CLAIMS} SELECT claim_id, c_custkey AS emp_id, c_name AS emp_name, n_name AS emp_insurer
@@ -313,4 +313,8 @@ ORACLES: dict[str, str] = {
     "q78_register": f"""WITH {MAPPED} SELECT claim_id, CASE WHEN claim_id % 5 = 0 AND problemas IS NOT NULL THEN 409 ELSE 200 END AS code,
         CASE WHEN claim_id % 5 = 0 AND problemas IS NULL THEN 'APROBADO' WHEN claim_id % 5 IN (1, 2) THEN 'RECHAZADO' ELSE 'PENDIENTE_REVISION' END AS estado,
         CASE WHEN claim_id % 5 = 1 THEN CASE WHEN coalesce(observaciones, '') = '' THEN '' ELSE observaciones || ' | ' END || 'RECHAZADO: ilegible' ELSE observaciones END AS observaciones FROM st""",
+    "q79_insurer_large": """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'epscustomer#' || lpad(o_custkey::VARCHAR, 9, '0') || 's.a.'
+          WHEN 1 THEN 'customer#' || lpad(o_custkey::VARCHAR, 9, '0') WHEN 2 THEN 'otraentidad' END AS said FROM orders),
+        h AS (SELECT said, min(c_custkey) AS id FROM (SELECT DISTINCT said FROM t WHERE said IS NOT NULL) JOIN customer ON contains(said, lower(c_name)) GROUP BY said)
+        SELECT o_orderkey, CAST(id AS INTEGER) AS ins_id, CAST(c_nationkey % 2 + 1 AS INTEGER) AS ins_kind, c_name AS ins_name FROM t LEFT JOIN h USING (said) LEFT JOIN customer ON c_custkey = id""",
 }

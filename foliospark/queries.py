@@ -157,7 +157,7 @@ def q16_code_candidates(spark, d):
     note = F.concat(F.lit("Nota A01 y SOL. "), F.when(k % 3 == 0, F.lit("B2O ")).otherwise(F.lit("")), F.lit("Diagnostico: "), code, F.lit("HERNIA Z99"))
     plain = F.when(k % 2 == 0, F.concat(F.lit("s"), (k % 90 + 10).cast("string"))).otherwise(F.lit("42.0"))
     return table(spark, d, "part").select(
-        "p_partkey", codes.best_diagnosis(note).alias("best"), codes.diagnosis_code(plain).alias("code"), codes.diagnosis_fixes(F.lit("kIO,5")).alias("fixes")
+        "p_partkey", codes.best_diagnosis(note).alias("best"), codes.diagnosis_code(plain).alias("code"), codes.diagnosis_fixes(views.pick(("kIO,5", "K10.5", "KZ|", "xx", None), k % 5)).alias("fixes")
     )
 
 
@@ -583,3 +583,17 @@ def q78_register(spark, d):
     k = F.col("claim_id")
     asked = views.pick(("aprobado", "RECHAZADO", "Rechazado", "otro", None), k % 5)
     return review.register(_mapped(spark, d), asked, F.when(k % 5 == 1, F.lit("ilegible"))).select("claim_id", "code", "estado", "observaciones")
+
+
+@query
+def q79_insurer_large(spark, d):
+    """Insurers by keyword from a catalogue too large for the plan: texts that hold a keyword with other words, in other letters, or
+    none."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    said = F.when(k % 4 == 0, F.concat(F.lit("EPS "), F.upper(name), F.lit(" S.A."))).when(k % 4 == 1, name).when(k % 4 == 2, F.lit("otra entidad"))
+    own = table(spark, d, "orders").select("o_orderkey", said.alias("said"))
+    insurers = table(spark, d, "customer").select(
+        F.col("c_custkey").cast("int").alias("id"), F.col("c_name").alias("keyword"), F.lit(None).cast("string").alias("tax_id"), (F.col("c_nationkey") % 2 + 1).cast("int").alias("kind")
+    )
+    return resolve.insurer_by_keyword(own, insurers, F.col("said")).select("o_orderkey", "ins_id", "ins_kind", "ins_name")
