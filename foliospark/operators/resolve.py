@@ -11,8 +11,10 @@ from ..sources.session import settled
 
 #: Rows of a catalogue that is part of the plan itself; of one that is sent to all tasks; larger ones go by their rarest part.
 TINY, SMALL = 256, 2000
-#: Characters of the parts that larger catalogues are looked up by, and the least length of a name that is looked up.
-GRAM, LEAST_NAME = 8, 8
+#: Parts that larger catalogues are looked up by: so many different lengths are all used; from how many characters on fewer are.
+FEW, GRAM = 4, 8
+#: The least length of a name that is looked up.
+LEAST_NAME = 8
 
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -34,8 +36,9 @@ def employee_by_number(df: DataFrame, employees: DataFrame, number: Column) -> D
     return df.withColumn("__key", key).join(catalogue, F.col("__key") == F.col("__number"), "left").drop("__key", "__number")
 
 
-def _grams(key: Column, size: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - size + 1), lambda k: F.substring(key, k, F.lit(size))))
+def _grams(key: Column, size: int | Column) -> Column:
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - size + 1), lambda k: F.substring(key, k, size)))
 
 
 def _pieces(c: Column, sizes: list[int]) -> Column:
@@ -45,17 +48,48 @@ def _pieces(c: Column, sizes: list[int]) -> Column:
 
 
 def _lengths(df: DataFrame, column: str) -> list[int]:
-    """The lengths under GRAM that the column has: a few numbers at most."""
-    return sorted(r[0] for r in df.select(F.length(column)).distinct().where(F.length(column).between(1, GRAM - 1)).collect())
+    """The different lengths of the column: as many numbers as its longest text has characters at most."""
+    return sorted(r[0] for r in df.select(F.length(column)).distinct().collect())
+
+
+def _sizes(lengths: list[int]) -> list[int]:
+    """Lengths of parts, so that each text has one of its own length or less: all lengths if they are few; else those under GRAM
+    and, from there on, the first of each doubling."""
+    if len(lengths) <= FEW:
+        return lengths
+    out = []
+    for n in lengths:
+        if n < GRAM or not out or out[-1] < GRAM or n >= 2 * out[-1]:
+            out.append(n)
+    return out
+
+
+def _own_size(c: Column, sizes: list[int]) -> Column:
+    """The largest of the sizes that the text has characters for."""
+    return F.array_max(F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n <= F.length(c)))
+
+
+def _merged(left: DataFrame, right: DataFrame, *args) -> DataFrame:
+    """A join of sorted shuffles. Spark knows a table's bytes on disk, but not how many rows explode makes of it, and would send
+    the parts of millions of names through the driver as a small table."""
+    return left.join(right.hint("merge"), *args)
+
+
+def _rarest(df: DataFrame, column: str, sizes: list[int], counts: DataFrame) -> DataFrame:
+    """df with __g, for each row the part of its text of its own size that counts (__g, __df) has the least of."""
+    size = _own_size(F.col(column), sizes)
+    parts = df.withColumn("__g", F.explode(_grams(F.col(column), size)))
+    weighed = _merged(parts, counts, "__g", "left")
+    return weighed.groupBy(*df.columns).agg(F.min_by("__g", F.struct(F.coalesce("__df", F.lit(0)), "__g")).alias("__g"))
 
 
 def containment(reads: DataFrame, catalogue: DataFrame, both_ways: bool, small: int = SMALL) -> DataFrame:
     """__read, __order: of each row of reads (__read, __text) the first row of catalogue (__order, __key) whose key the text
     holds, or also, both ways, whose key holds the text. Empty keys and texts match nothing.
 
-    A small catalogue, counted first, is sent to all tasks and compared with every text. A larger one is indexed: a key of
-    GRAM characters or more by the part of it that the fewest keys share, a shorter one as a whole; the other way round a
-    text is looked up by its rarest part. All joins are by equality then, and each pair found is verified.
+    A small catalogue, counted first, is sent to all tasks and compared with every text. A larger one is indexed: different keys
+    and different texts are looked up once each, by equality with parts of the other side. Parts have few lengths (_sizes). What
+    is as long as a part is looked up as a whole, what is longer by the part of it that the fewest keys share, and then verified.
     """
     reads = reads.where(F.length("__text") > 0)
     catalogue = catalogue.where(F.length("__key") > 0)
@@ -65,30 +99,32 @@ def containment(reads: DataFrame, catalogue: DataFrame, both_ways: bool, small:
         pairs = reads.join(F.broadcast(catalogue), good).select("__read", "__order")
         return pairs.groupBy("__read").agg(F.min("__order").alias("__order"))
 
-    long = catalogue.where(F.length("__key") >= GRAM)
-    short = catalogue.where(F.length("__key") < GRAM).groupBy(F.col("__key").alias("__g")).agg(F.min("__order").alias("__order"))
-    own = long.select("__order", "__key", F.explode(_grams(F.col("__key"), GRAM)).alias("__g"))
-    common = own.groupBy("__g").agg(F.count("*").alias("__df"))
-    rarest = own.join(common, "__g").groupBy("__order", "__key").agg(F.min_by("__g", F.struct("__df", "__g")).alias("__g"))
-
-    read_grams = reads.where(F.length("__text") >= GRAM).select("__read", "__text", F.explode(_grams(F.col("__text"), GRAM)).alias("__g"))
-    found = read_grams.join(rarest, "__g").where(holds).select("__read", "__order")
-    sizes = _lengths(short, "__g")  # a short key is looked up among the parts of its length
-    if sizes:
-        parts = reads.select("__read", F.explode(_pieces(F.col("__text"), sizes)).alias("__g"))
-        found = found.unionByName(parts.join(short, "__g").select("__read", "__order"))
-    if both_ways:
-        weighed = read_grams.join(common, "__g", "left").groupBy("__read", "__text").agg(
-            F.min_by("__g", F.struct(F.coalesce("__df", F.lit(0)), "__g")).alias("__g")
-        )
-        inside = weighed.join(own, "__g").where(F.contains(F.col("__key"), F.col("__text"))).select("__read", "__order")
-        sizes = _lengths(reads, "__text")  # and a short text among the parts of the keys
-        if sizes:
-            parts = catalogue.select("__order", F.explode(_pieces(F.col("__key"), sizes)).alias("__g"))
-            least = parts.groupBy("__g").agg(F.min("__order").alias("__order"))
-            inside = inside.unionByName(reads.join(least, F.col("__text") == F.col("__g")).select("__read", "__order"))
-        found = found.unionByName(inside)
-    return found.groupBy("__read").agg(F.min("__order").alias("__order"))
+    keys = settled(catalogue.groupBy("__key").agg(F.min("__order").alias("__order")))
+    texts = settled(reads.select("__text").distinct())
+    lengths = _lengths(keys, "__key")
+    sizes = _sizes(lengths)
+    index = keys.where(F.length("__key").isin(sizes)).withColumn("__g", F.col("__key"))
+    if sizes != lengths:
+        longer = keys.where(~F.length("__key").isin(sizes))
+        parts = longer.select(F.explode(_grams(F.col("__key"), _own_size(F.col("__key"), sizes))).alias("__g"))
+        index = index.unionByName(_rarest(longer, "__key", sizes, parts.groupBy("__g").agg(F.count("*").alias("__df"))))
+    parts = texts.select("__text", F.explode(_pieces(F.col("__text"), sizes)).alias("__g"))
+    found = _merged(parts, index, "__g").where(holds).select("__text", "__order")
+    if both_ways and lengths:
+        own = texts.where(F.length("__text") <= lengths[-1])  # no key holds a longer one
+        lengths = _lengths(own, "__text")
+        sizes = _sizes(lengths)
+        parts = keys.select("__order", "__key", F.explode(_pieces(F.col("__key"), sizes)).alias("__g"))
+        least = parts.groupBy("__g").agg(F.min("__order").alias("__order"), F.count("*").alias("__df"))
+        whole = own.where(F.length("__text").isin(sizes))
+        found = found.unionByName(_merged(whole, least, F.col("__text") == F.col("__g")).select("__text", "__order"))
+        if sizes != lengths:
+            longer = _rarest(own.where(~F.length("__text").isin(sizes)), "__text", sizes, least.select("__g", "__df"))
+            inside = _merged(longer, parts, "__g").where(F.contains(F.col("__key"), F.col("__text")))
+            found = found.unionByName(inside.select("__text", "__order"))
+    first = found.groupBy("__text").agg(F.min("__order").alias("__order"))
+    hits = _merged(reads, first, "__text").select("__read", "__order")
+    return hits.groupBy("__read").agg(F.min("__order").alias("__order"))
 
 
 def employee_by_name(df: DataFrame, employees: DataFrame, key: str, name: Column) -> DataFrame:
@@ -98,7 +134,7 @@ def employee_by_name(df: DataFrame, employees: DataFrame, key: str, name: Column
     text = squash(name)
     reads = df.select(F.col(key).alias("__read"), text.alias("__text")).where(F.length("__text") >= LEAST_NAME)
     found = containment(reads, catalogue.select(F.col("emp_id").alias("__order"), squash(F.col("emp_name")).alias("__key")), True)
-    own = found.join(catalogue, F.col("__order") == F.col("emp_id"))
+    own = _merged(found, catalogue, F.col("__order") == F.col("emp_id"))
     return own.select(F.col("__read").alias(key), "emp_id", "emp_name", "emp_insurer")
 
 

@@ -91,6 +91,49 @@ def test_indexed_containment_equals_comparison(spark, both):
         assert {r["__read"]: r["__order"] for r in resolve.containment(df, catalogue, both, small).collect()} == want
 
 
+@pytest.mark.parametrize("longest, alphabet", [(60, "ab"), (40, "abc"), (3, "ab")])
+def test_indexed_containment_of_many_lengths(spark, longest, alphabet):
+    import random
+
+    rng = random.Random(longest)
+    part = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    keys = [(k, part(rng.randint(0, longest))) for k in range(120)]
+    keys += [(k + 120, own) for k, own in keys[:40]]  # names that several hold
+    reads = []
+    for k in range(300):
+        own = rng.choice(keys)[1]
+        reads.append((k, rng.choice([part(rng.randint(0, longest + 9)), part(3) + own + part(2), own[1:-1], own[: len(own) // 2], own])))
+    want = {r: min(hits) for r, t in reads if (hits := [k for k, own in keys if own and t and (own in t or t in own)])}
+    catalogue, df = spark.createDataFrame(keys, "__order int, __key string"), spark.createDataFrame(reads, "__read int, __text string")
+    assert {r["__read"]: r["__order"] for r in resolve.containment(df, catalogue, True, 0).collect()} == want
+
+
+def _rows_of_joins(plan) -> list[tuple[str, int]]:
+    """Name and rows of every join that a finished plan ran."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _rows_of_joins(plan.executedPlan())
+    inner = [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(k) for k in range(plan.children().size())]
+    own = [(name, plan.metrics().apply("numOutputRows").value())] if "Join" in name else []
+    return own + [x for p in inner for x in _rows_of_joins(p)]
+
+
+def test_names_of_one_beginning_are_looked_up_once_and_never_broadcast(spark):
+    n = 300
+    people = spark.range(n).select(F.col("id").cast("int"), F.lit("").alias("id_number"), F.format_string("Customer#%09d", "id").alias("full_name"), F.lit("x").alias("insurer"))
+    reads = spark.range(n).select("id", F.left(F.format_string("customer#%09d", "id"), F.lit(14)).alias("name"))  # every key holds every text
+    defaults, resolve.containment.__defaults__ = resolve.containment.__defaults__, (0,)  # small
+    try:
+        got = resolve.employee_by_name(reads, people, "id", F.col("name"))
+    finally:
+        resolve.containment.__defaults__ = defaults
+    frame = got._jdf.queryExecution().executedPlan()
+    assert {tuple(r)[:2] for r in got.collect()} == {(k, 0) for k in range(n)}
+    joins = _rows_of_joins(frame)
+    assert joins and not [j for j in joins if "Broadcast" in j[0]]
+    assert max(rows for _, rows in joins) <= n  # not the square of it
+
+
 def test_insurer_chain(spark, dims):
     rows = [(1, "EPS SOLNORTE", None, True), (2, "?", "faro sur", True), (3, "SOAT FARO", "sol norte", True), (4, None, None, True), (5, "FARO", "FARO", False), (6, "soat", None, True)]
     df = spark.createDataFrame(rows, "id int, t string, e string, applies boolean")
