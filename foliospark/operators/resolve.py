@@ -183,8 +183,8 @@ def insurer_by_keyword(df: DataFrame, insurers: DataFrame, text: Column, prefix:
     keyed = settled(df.withColumn("__text", squash(text)))
     reads = keyed.select("__text").distinct().withColumn("__read", F.col("__text"))
     found = containment(reads, keys.select("__order", "__key"), False)
-    hits = found.join(catalogue, F.col("__order") == F.col(names[0])).select("__read", *names)
-    return keyed.join(hits, F.col("__text") == F.col("__read"), "left").drop("__text", "__read")
+    hits = _merged(found, catalogue, F.col("__order") == F.col(names[0])).select("__read", *names)
+    return _merged(keyed, hits, F.col("__text") == F.col("__read"), "left").drop("__text", "__read")
 
 
 def insurer(df: DataFrame, insurers: DataFrame, text: Column, employee_insurer: Column, applies: Column) -> DataFrame:

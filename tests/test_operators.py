@@ -134,6 +134,17 @@ def test_names_of_one_beginning_are_looked_up_once_and_never_broadcast(spark):
     assert max(rows for _, rows in joins) <= n  # not the square of it
 
 
+def test_insurers_too_many_for_the_plan_are_never_broadcast(spark):
+    n = resolve.SMALL + 50
+    insurers = spark.range(n).select(F.col("id").cast("int"), F.format_string("Faro#%09d", "id").alias("keyword"), F.lit(None).cast("string").alias("tax_id"), F.lit(1).alias("kind"))
+    own = spark.range(3 * n).select("id", F.format_string("EPS FARO#%09d S.A.", F.col("id")).alias("said"))
+    got = resolve.insurer_by_keyword(own, insurers, F.col("said"))
+    frame = got._jdf.queryExecution().executedPlan()
+    assert {r["id"]: r["ins_id"] for r in got.collect()} == {k: k if k < n else None for k in range(3 * n)}
+    joins = _rows_of_joins(frame)
+    assert joins and not [j for j in joins if "Broadcast" in j[0]]
+
+
 def test_insurer_chain(spark, dims):
     rows = [(1, "EPS SOLNORTE", None, True), (2, "?", "faro sur", True), (3, "SOAT FARO", "sol norte", True), (4, None, None, True), (5, "FARO", "FARO", False), (6, "soat", None, True)]
     df = spark.createDataFrame(rows, "id int, t string, e string, applies boolean")
