@@ -474,7 +474,7 @@ def q69_page_sizes(spark, d):
 @query
 def q70_certificates(spark, d):
     """Certificates of six layouts, each field as printed."""
-    r = pipeline.rule_extractor()(settled(spread(letters.certificates(spark, d))))
+    r = pipeline.rule_extractor()(letters.certificates(spark, d))
     i = "record.incapacidad."
     return r.select(
         "o_orderkey", F.col("record.tipo_documento").alias("kind"), F.col("record.paciente.documento_tipo").alias("id_kind"),

@@ -148,3 +148,10 @@ def test_names(spark):
 def test_replies(value, raw, want, failed):
     assert value(replies.json_text, raw) == want
     assert value(replies.reply_failed, raw) is failed
+
+
+def test_a_text_is_cut_at_its_candidates_once_for_all_of_them(spark):
+    df = spark.createDataFrame([("Dx K42.9, no S4Z ni SOL; principal: B0l. A1O23 " * 5,)], "text string").select(codes.best_diagnosis(F.col("text")).alias("code"))
+    assert df.first()["code"] == "K42.9"
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(") == 2  # pieces and candidates; what is named in the lambda is made for each of them
