@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from foliospark.llm import bpe, common, mph, tokencounts, tokenfile
@@ -95,6 +96,23 @@ def test_token_file(spark, docs, texts, empty, monkeypatch):
     assert tokenfile.token_file_rows(spark, empty, WORDS).count() == 0
 
 
+def test_signs_at_the_ends_of_words_make_no_new_pieces(words):
+    """A word is encoded once, whatever signs follow it; ids are the library's with every sign and letter, special tokens too."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    encoder = tokenfile.WordEncoder(open(WORDS, "rb").read())
+    seen, encode = [], encoder.memo.encode
+    encoder.memo.encode = lambda units: seen.extend(units) or encode(units)
+    signs = [s for c in map(chr, range(33, 127)) if not c.isalnum() for s in (c, c * 3, f",{c}", f"{c}.", f"'{c}")]
+    ends = ["the", "caf\u00e9", "\u00c9T\u00c9", "e\u0301", "stra\u00dfe", "don't", "x1", "\u0434\u0430", "<|endoftext|>", "<|endoftext", "a\u00d7"]
+    texts = [f"{w}{s} {after}" for w in ends for s in signs for after in ("s b", "\u0338x", s, "|>", "ll")] + [None, ""]
+    ids, at = encoder.encode_column(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    seen.clear()
+    encoder.encode_column(pa.array([f"{w}{s} z" for w in words[:50] for s in ("", "###", "!!", ",$$$", ".", ")", '"')]))
+    assert set(seen) <= {*words[:50], "z", "###", "!!", ",$$$", ".", ")", '"'}
+
+
 def test_token_file_with_nulls_and_repeated_ids(spark, clashing):
     blocks = tokenfile.write_token_file(clashing, common.fresh_path(spark, "t"), WORDS)
     rows = sorted(tokenfile.read_documents(blocks).collect(), key=lambda r: r["start"])
