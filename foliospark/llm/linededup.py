@@ -22,7 +22,7 @@ from . import common
 
 #: The least similarity is NUM / DEN.
 NUM, DEN = 4, 5
-#: Buckets of the words' rarity table, a binary literal of as many bytes.
+#: Buckets of the words' rarity table, an array of as many numbers in the plan.
 BUCKETS = 1 << 16
 #: Lines of more words than this have a sketch of 128 bits, others one of 64.
 SHORT = 64
@@ -36,15 +36,20 @@ PLACE = ("doc_id", "line")
 
 def _plain(c: Column) -> Column:
     """Lower case, white space other than line feeds as spaces."""
-    out = F.lower(c)
+    out, some = F.lower(c), F.lit(False)
     for blank in BLANKS:
-        out = F.replace(out, F.lit(blank), F.lit(" "))
-    return out
+        out, some = F.replace(out, F.lit(blank), F.lit(" ")), some | F.contains(c, F.lit(blank))
+    return F.when(some, out).otherwise(F.lower(c))  # to look for a character costs less than to replace none
 
 
 def _words(c: Column) -> Column:
     """The different words of a line."""
-    return F.array_distinct(F.array_remove(F.split(c, " "), ""))
+    return F.array_except(F.split(c, " "), F.array(F.lit("")))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many words two lines share; an intersection holds each once."""
+    return F.size(F.array_remove(F.array_intersect(F.split(a, " "), F.split(b, " ")), ""))
 
 
 def _tag() -> Column:
@@ -81,11 +86,15 @@ def rarity_table(lines: DataFrame) -> bytes:
 
 
 def _keys(words: Column, rarity: bytes) -> Column:
-    """A key for each different word of a line, rarest first: the rarity's byte above 56 bits of the hash."""
+    """A key for each different word of a line, rarest first: the rarity's byte above 56 bits of the hash.
+
+    The bytes are numbers of an array that folds to a constant. None of it may be null: arrays that can't hold nulls are
+    sorted as plain numbers."""
+    table = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<bigint>")
 
     def key(h: Column) -> Column:
-        byte = F.substring(F.lit(bytearray(rarity)), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
-        return F.shiftleft(F.ascii(byte.cast("string")).cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+        level = F.coalesce(F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("bigint"))
+        return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     return F.sort_array(F.transform(F.transform(_words(words), lambda w: F.xxhash64(w)), key))
 
@@ -160,8 +169,7 @@ def _near_copies(lines: DataFrame, num: int, den: int) -> DataFrame:
     shared = common.cut(_partners(rows, rows, like & _another()))
     later = common.cut(_partners(shared, shared, like & _earlier()))
     texts = common.cut(lines.join(shared.select(*PLACE).distinct(), list(PLACE), "left_semi"))
-    both = F.size(F.array_intersect(_words(F.col("a.words")), _words(F.col("b.words"))))
-    alike = both * (num + den) >= (_size("a") + _size("b")) * num
+    alike = _common(F.col("a.words"), F.col("b.words")) * (num + den) >= (_size("a") + _size("b")) * num
 
     def verified(some: DataFrame) -> DataFrame:
         # words that very many lines share are dealt to several tasks
@@ -179,7 +187,7 @@ def _near_copies(lines: DataFrame, num: int, den: int) -> DataFrame:
 
 def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, tag and kept (the numbers of the lines that stay) of each document that keeps a line."""
-    with common.stored(first_occurrences(docs), "lines") as lines:
+    with common.stored(first_occurrences(docs), "lines", "words") as lines:
         kept = lines.select(*PLACE).join(_near_copies(lines, num, den), list(PLACE), "left_anti")
         own = kept.groupBy("doc_id", F.col("line").bitwiseAND(F.lit(((1 << 31) - 1) << 32)).alias("tag"))
         return common.cut(own.agg(F.collect_list(_number(F.col("line"))).alias("kept")))
@@ -195,7 +203,7 @@ def _decided(rows: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _full() -> Column:
-    numbers = F.transform(F.split("text", "\n"), lambda x, i: F.when(F.trim(x, F.lit("".join(BLANKS) + " ")) != "", i))
+    numbers = F.transform(F.split("text", "\n"), lambda x, i: F.when(F.ltrim(x, F.lit("".join(BLANKS) + " ")) != "", i))
     return F.coalesce(F.filter(numbers, lambda i: i.isNotNull()), F.array().cast("array<int>"))
 
 

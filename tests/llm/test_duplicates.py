@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from foliospark.llm import ann, components, decontam, linededup, simhash
+from pyspark.sql import functions as F
 
 
 def brute_lines(rows):
@@ -58,6 +59,28 @@ def test_line_dedup_plan_has_no_python(docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_line_dedup_makes_keys_from_numbers_alone(spark):
+    """Keys are the rarity's byte above 56 bits of the hash, in order, and no string is made for a word to find its byte."""
+    rarity = bytes(33 + k * 7 % 94 for k in range(linededup.BUCKETS))
+    texts = ["one two  two three", "", " ", "caf\u00e9 \u65e5\u672c x x", " ".join(f"w{k}" for k in range(300))]
+    rows = spark.createDataFrame([(t,) for t in texts], "words string").select("words", linededup._keys(F.col("words"), rarity).alias("k"))
+    assert not rows.schema["k"].dataType.containsNull
+    assert not re.search("substr|ascii", rows._jdf.queryExecution().optimizedPlan().toString())
+    for r in rows.collect():
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(r["words"].split(" ")) - {""}]
+        assert r["k"] == sorted(rarity[h % linededup.BUCKETS] << 56 | h & (1 << 56) - 1 for h in hashes)
+
+
+def test_line_dedup_white_space(spark):
+    """Each kind of white space parts words or leaves a line without one; texts that hold none of it are lowered alike."""
+    rows = [(1, "A b C d e"), (2, "a\tB c D E\n\t\r\x0b\x0c \nx"), (3, "a\rb\x0bc\x0cd E\n \n\tX\x0c"), (4, "\u0130a \u039f\u03a3\n\u0130A \u039f\u03a3"), (5, "a b c d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in linededup.line_decisions(docs).collect()}
+    assert got == {1: (1, []), 2: (2, [0]), 3: (2, [0, 2]), 4: (2, [1]), 5: (1, [0])}
+    pairs = spark.createDataFrame([("a  b a c", "c a a d "), ("", " "), ("x", "x")], "a string, b string")
+    assert [r[0] for r in pairs.select(linededup._common(F.col("a"), F.col("b"))).collect()] == [2, 0, 1]
+
+
 def plain_fingerprint(text):
     raw = (text or "").encode()
     own = bytes(b + 32 if 65 <= b <= 90 else b for b in raw).split()
