@@ -4,7 +4,8 @@ A line is the set of its lower-cased words. Equal lines are one class, held by i
 rarity: by the number of different lines, over the whole corpus, that hold a word of the same hash bucket, then by the
 word's hash. Any such order makes the join exact; the bucket table, of one fixed size whatever the corpus, tells frequent
 words from rare ones, which is what makes it fast. The prefix of a class holds its rarest words, and two classes of Jaccard
-similarity NUM / DEN or more share a word of their prefixes. Candidates must also pass filters on length, on the position of
+similarity NUM / DEN or more share a word of their prefixes. Words meet only within a class of sizes; a line near the next class
+stands in both. Candidates must also pass filters on length, on the position of
 the shared word, and on a parity sketch that the size of the sets' difference bounds; those left are verified on the words
 themselves. A line is removed if an equal line or one as similar occurs earlier, by doc_id and line number.
 
@@ -137,16 +138,35 @@ def _like(num: int, den: int) -> Column:
     )
 
 
+def _step(num: int, den: int) -> int:
+    """Binary digits of a size class: sizes of like lines lie in one class or in two that follow each other."""
+    return next(s for s in range(1, 64) if num << s >= den)
+
+
 def _prefix_rows(lines: DataFrame, rarity: bytes, num: int, den: int) -> DataFrame:
     """A row for each prefix word of each line: k (its key), size_at (the line's size, the word's place in the order), the line's
-    place and sketch."""
+    place and sketch.
+
+    k is the word's hash and a class of sizes, so that lines far apart in size don't meet. Two like lines meet in the class of
+    the larger one: a line also stands in the next class if a line of that class can be like it, by those words of its prefix
+    that can be the first they share."""
     sets = lines.select(*PLACE, _keys(F.col("words"), rarity).alias("keys")).withColumn("n", F.size("keys"))
     half = F.when(F.col("n") > SHORT, _parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0))
-    ready = sets.select(
-        *PLACE, "n", _parity(F.col("keys")).alias("all"), half.alias("odd"), F.slice("keys", F.lit(1), _prefix(F.col("n"), num, den)).alias("prefix")
-    )
-    own = [*PLACE, "n", F.col("all").bitwiseXOR(F.col("odd")).alias("even"), "odd"]
-    return ready.select(*own, F.posexplode_outer("prefix").alias("at", "k")).select(*PLACE, "k", _packed(F.col("n"), F.col("at")).alias("size_at"), "even", "odd")
+    step = _step(num, den)
+    kind = F.ceil(F.length(F.bin("n")) / F.lit(step)).cast("int")
+    least = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("kind") * step)  # size of the next class
+    # words at place j with (n - j) * (num + den) >= (n + least) * num
+    more = F.floor((F.col("n") * den - least * num) / F.lit(num + den)).cast("int") + 1
+    sized = sets.withColumn("kind", kind).withColumn("own", _prefix(F.col("n"), num, den)).withColumn("next", F.greatest(F.lit(0), F.least("own", more)))
+    ready = sized.select(
+        *PLACE, "n", "kind", "own", _parity(F.col("keys")).alias("all"), half.alias("odd"),
+        F.concat(F.slice("keys", F.lit(1), F.col("own")), F.slice("keys", F.lit(1), F.col("next"))).alias("prefix"),
+    )
+    each = ready.select(*PLACE, "n", "kind", "own", F.col("all").bitwiseXOR(F.col("odd")).alias("even"), "odd", F.posexplode_outer("prefix").alias("at", "k"))
+    again = F.col("at") >= F.col("own")
+    k = F.shiftleft((F.col("kind") + again.cast("int")).cast("bigint"), 56).bitwiseOR(F.col("k").bitwiseAND(F.lit((1 << 56) - 1)))
+    at = F.when(again, F.col("at") - F.col("own")).otherwise(F.col("at"))
+    return each.select(*PLACE, k.alias("k"), _packed(F.col("n"), at).alias("size_at"), "even", "odd")
 
 
 def _another() -> Column:
@@ -181,8 +201,8 @@ def _near_copies(lines: DataFrame, num: int, den: int) -> DataFrame:
 
     # a line's rarest shared word nearly always shows its earlier like line; lines left over are compared by all their words
     order = Window.partitionBy(*PLACE).orderBy("size_at", "k")
-    found = verified(later.withColumn("r", F.row_number().over(order)).where(F.col("r") == 1).drop("r"))
-    return found.unionByName(verified(later.join(found, list(PLACE), "left_anti")))
+    found = verified(common.cut(later.withColumn("r", F.row_number().over(order)).where(F.col("r") == 1).drop("r")))
+    return found.unionByName(verified(common.cut(later.join(found, list(PLACE), "left_anti"))))
 
 
 def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -71,6 +71,43 @@ def test_line_dedup_makes_keys_from_numbers_alone(spark):
         assert r["k"] == sorted(rarity[h % linededup.BUCKETS] << 56 | h & (1 << 56) - 1 for h in hashes)
 
 
+def test_line_dedup_meets_by_size(spark):
+    """Lines far apart in size don't meet, however rare the word they share; like lines of any sizes do, also across classes."""
+    step = {(4, 5): 1, (1, 1): 1, (1, 2): 1, (2, 5): 2, (1, 5): 3}
+    assert {x: linededup._step(*x) for x in step} == step
+    texts = [(k, 0, " ".join(f"w{j}" for j in range(n))) for k, n in enumerate((*range(1, 41), 63, 64, 65, 79, 80, 81, 130, 200))]
+    lines = spark.createDataFrame(texts, "doc_id bigint, line bigint, words string")
+    for num, den in ((4, 5), (2, 5)):
+        rows = linededup._prefix_rows(lines, b"!" * linededup.BUCKETS, num, den).collect()
+        at = {}
+        for r in rows:
+            at.setdefault(r["k"], set()).add((r["doc_id"], r["size_at"] >> 32))
+        met = {(a, b) for own in at.values() for a, _ in own for b, _ in own}
+        size = {k: len(t.split()) for k, _, t in texts}
+        for a, b in itertools.combinations(size, 2):
+            if size[a] * den >= size[b] * num:
+                assert (a, b) in met
+        digits = 2 if (num, den) == (2, 5) else 1
+        assert all(4**digits * min(n for _, n in own) > max(n for _, n in own) for own in at.values())
+        assert len(rows) == len({(r["doc_id"], r["k"]) for r in rows})
+
+
+def test_line_dedup_across_sizes_equals_brute_force(spark):
+    """Lines whose sizes lie around powers of two, copies with words left out or put in."""
+    rng = random.Random(4)
+    pool, rows = [f"v{k}" for k in range(400)], []
+    for n in (3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 32, 33, 63, 64, 65, 72, 127, 128, 129, 150):
+        base = rng.sample(pool, n)
+        for _ in range(7):
+            less = rng.sample(base, n - rng.randint(0, n // 4))
+            rows.append(" ".join(less + rng.sample(sorted(set(pool) - set(base)), rng.randint(0, n // 5))))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = {(r["doc_id"], n) for r in linededup.line_decisions(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() for n in r["removed"]}
+    assert got == brute_lines(rows)
+    assert len(got) > 30
+
+
 def test_line_dedup_white_space(spark):
     """Each kind of white space parts words or leaves a line without one; texts that hold none of it are lowered alike."""
     rows = [(1, "A b C d e"), (2, "a\tB c D E\n\t\r\x0b\x0c \nx"), (3, "a\rb\x0bc\x0cd E\n \n\tX\x0c"), (4, "\u0130a \u039f\u03a3\n\u0130A \u039f\u03a3"), (5, "a b c d")]
